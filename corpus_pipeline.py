@@ -10,10 +10,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import decontamination, mixing, sharding
+from tidewright.llm import decontamination, mixing, neardup, sharding, toxicity
 from tidewright.llm.scratch import path_of, shared_folder
 
 
+def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.not_toxic(docs, spark.read.parquet(path_of(sf_dir, "labels")))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.one_of_each(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.clean(docs, spark.read.parquet(path_of(sf_dir, "benchmark")))
 
@@ -27,6 +35,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", detoxify),
+    ("near-dedup", deduplicate),
     ("decontamination", decontaminate),
     ("mixing", mix_sources),
     ("sharding", shard),
