@@ -34,8 +34,11 @@ WORD_BITS, GRAM_BITS = 18, 16
 WIDTHS = {"word": 4, "four": 2, "five": 2, "gram": 2}
 INPUT = sum(WIDTHS.values())
 GATES = 3 * HIDDEN
-PRIOR = 20.0
+PRIOR = 8.0
 STEP_ROWS = 8192
+BATCH = 128
+#: from so many labelled documents on, a quarter of them is set aside for the calibration
+ASIDE = 800
 f4 = np.float32
 
 
@@ -185,7 +188,7 @@ def _read(texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     return features(buf, starts, ends), ptr
 
 
-def fit(texts: list[str], toxic: list[int], epochs: int = 4, seed: int = 3) -> dict[str, np.ndarray]:
+def fit(texts: list[str], toxic: list[int], steps: int = 120, seed: int = 3) -> dict[str, np.ndarray]:
     """Parameters learned from labelled texts.
 
     Embeddings start at the shrunken log odds of their bucket; documents lend their label to their
@@ -198,7 +201,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 4, seed: int = 3) -> d
     rng = np.random.default_rng(seed)
     p = initial(rng)
     feats, ptr = _read(texts)
-    aside = (np.arange(len(y)) % 4 == 3) & (len(y) >= 40)  # for the calibration
+    aside = (np.arange(len(y)) % 4 == 3) & (len(y) >= ASIDE)  # for the calibration
     doc = np.repeat(np.arange(len(y)), np.diff(ptr))
     for k in WIDTHS:
         v = feats[k].reshape(len(doc), -1)
@@ -223,10 +226,10 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 4, seed: int = 3) -> d
         rank = np.arange(len(row)) - first[row[order]]
         chosen = order[(rank < 2) & ~aside[row[order]]]
         chosen = np.concatenate([chosen, rng.permutation(np.flatnonzero((y[row] == 0) & ~aside[row]))[: len(chosen) // 2]])
-        for _ in range(epochs):
+        for _ in range(max(3, -(-steps * BATCH // len(chosen)))):
             rng.shuffle(chosen)
-            for a in range(0, len(chosen), 256):
-                w = chosen[a : a + 256]
+            for a in range(0, len(chosen), BATCH):
+                w = chosen[a : a + BATCH]
                 at = places(start[w], end[w], -1)
                 used, inverse = np.unique(at[at >= 0], return_inverse=True)
                 place = np.full(at.shape, -1)
@@ -251,13 +254,13 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 4, seed: int = 3) -> d
     if 0 < y[aside].sum() < aside.sum():
         best, y = best[aside], y[aside]
     a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps of a slightly regularised logistic fit
-        q = 1 / (1 + np.exp(-(a * best + b)))
-        wt = q * (1 - q) + 1e-6
-        g0, g1 = ((q - y) * best).sum() + 0.1 * (a - 1), (q - y).sum()
-        h00, h01, h11 = (wt * best * best).sum() + 0.1, (wt * best).sum(), wt.sum() + 1e-3
+    for _ in range(100):  # damped Newton steps of a regularised logistic fit
+        q = 1 / (1 + np.exp(-np.clip(a * best + b, -30, 30)))
+        wt = q * (1 - q) + 1e-4
+        g0, g1 = ((q - y) * best).sum() + 4 * (a - 0.7), (q - y).sum() + 0.01 * b
+        h00, h01, h11 = (wt * best * best).sum() + 4, (wt * best).sum(), wt.sum() + 0.01
         det = h00 * h11 - h01 * h01
-        a, b = a - (h11 * g0 - h01 * g1) / det, b - (h00 * g1 - h01 * g0) / det
+        a, b = a - 0.5 * (h11 * g0 - h01 * g1) / det, b - 0.5 * (h00 * g1 - h01 * g0) / det
     return p | {"calibration": np.array([max(a, 1e-3), b])}
 
 
@@ -269,7 +272,7 @@ def score_column(p: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
     start, end, first = windows(ptr)
     w = logits(p, embed(p, features(buf, starts, ends)), start, end)
     a, b = p["calibration"]
-    return 1 / (1 + np.exp(-(a * np.maximum.reduceat(w, first[:-1]).astype(float) + b)))
+    return 1 / (1 + np.exp(-np.clip(a * np.maximum.reduceat(w, first[:-1]).astype(float) + b, -30, 30)))
 
 
 def held_out(of: int = 4, which: int = 2) -> F.Column:
