@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, neardup, sharding, toxicity
+from . import decontamination, html_text, mixing, neardup, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_recurrent_toxicity": toxicity.op3_recurrent_toxicity,
+        "op4_text_density": html_text.op4_text_density,
         "op5_positional_index": decontamination.op5_positional_index,
         "op7_fair_mix": mixing.op7_fair_mix,
         "op8_hyperminhash": neardup.op8_hyperminhash,
