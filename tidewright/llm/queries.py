@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, mixing, neardup, sharding, toxicity
+from . import decontamination, html_text, mixing, neardup, neighbours, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_recurrent_toxicity": toxicity.op3_recurrent_toxicity,
         "op4_text_density": html_text.op4_text_density,
         "op5_positional_index": decontamination.op5_positional_index,
+        "op6_projection_forest": neighbours.op6_projection_forest,
         "op7_fair_mix": mixing.op7_fair_mix,
         "op8_hyperminhash": neardup.op8_hyperminhash,
         "op9_two_pass_shuffle": sharding.op9_two_pass_shuffle,
