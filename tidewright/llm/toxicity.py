@@ -27,8 +27,8 @@ from .scratch import path_of
 WINDOW = 32
 STRIDE = 16
 HIDDEN = 8
-SAMPLE = 1500
-SAMPLE_CHARS = 40_000
+SAMPLE = 1200
+SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
 WORD_BITS, GRAM_BITS = 18, 16
 WIDTHS = {"word": 4, "four": 2, "five": 2, "gram": 2}
@@ -183,9 +183,32 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, start: np.ndarray, end: n
 
 
 def _read(texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    buf, offs = wb.raw(pa.array(texts, pa.string()))
-    starts, ends, ptr = wb.spans(buf, offs, wb.ALNUM)
-    return features(buf, starts, ends), ptr
+    """Features of all words, in 32 bits, and the texts' first words; read in blocks of bounded memory."""
+    parts, sizes = [], []
+    for block in wb.blocks([pa.record_batch([pa.array(texts, pa.string())], names=["text"])], limit=1 << 20):
+        buf, offs = wb.raw(block.column(0))
+        starts, ends, ptr = wb.spans(buf, offs, wb.ALNUM)
+        parts.append({k: v.astype(np.int32) for k, v in features(buf, starts, ends).items()})
+        sizes.append(np.diff(ptr))
+    return {k: np.concatenate([p[k] for p in parts]) for k in WIDTHS}, np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def _groups(ptr: np.ndarray, words: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Runs of rows with at most so many words, or one row."""
+    at = 0
+    while at < len(ptr) - 1:
+        to = max(at + 1, int(np.searchsorted(ptr, ptr[at] + words, "right")) - 1)
+        yield at, to
+        at = to
+
+
+def _all_logits(p: dict[str, np.ndarray], feats: dict[str, np.ndarray], ptr: np.ndarray) -> np.ndarray:
+    out = []
+    for a, b in _groups(ptr):
+        own = {k: v[ptr[a] : ptr[b]] for k, v in feats.items()}
+        start, end, _ = windows(ptr[a : b + 1] - ptr[a])
+        out.append(logits(p, embed(p, own), start, end))
+    return np.concatenate(out)
 
 
 def fit(texts: list[str], toxic: list[int], steps: int = 120, seed: int = 3) -> dict[str, np.ndarray]:
@@ -202,25 +225,27 @@ def fit(texts: list[str], toxic: list[int], steps: int = 120, seed: int = 3) ->
     p = initial(rng)
     feats, ptr = _read(texts)
     aside = (np.arange(len(y)) % 4 == 3) & (len(y) >= ASIDE)  # for the calibration
-    doc = np.repeat(np.arange(len(y)), np.diff(ptr))
+    rate = y.mean()
     for k in WIDTHS:
-        v = feats[k].reshape(len(doc), -1)
-        pair = np.unique((doc[:, None] * (1 << 20) + v)[(v >= 0) & ~aside[doc][:, None]])
         size = len(p[f"e_{k}"])
-        seen = np.bincount(pair & ((1 << 20) - 1), minlength=size)
-        bad = np.bincount(pair & ((1 << 20) - 1), weights=y[pair >> 20], minlength=size)
-        rate = y.mean()
+        seen, bad = np.zeros(size), np.zeros(size)
+        for d0, d1 in _groups(ptr):
+            v = feats[k][ptr[d0] : ptr[d1]].reshape(ptr[d1] - ptr[d0], -1).astype(np.int64)
+            doc = np.repeat(np.arange(d0, d1), np.diff(ptr[d0 : d1 + 1]))[:, None]
+            pair = np.unique((doc * (1 << 20) + v)[(v >= 0) & ~aside[doc]])
+            seen += np.bincount(pair & ((1 << 20) - 1), minlength=size)
+            bad += np.bincount(pair & ((1 << 20) - 1), weights=y[pair >> 20], minlength=size)
         p[f"e_{k}"][:, 0] = np.log((bad + PRIOR * rate) / (seen + PRIOR) / rate)
     start, end, first = windows(ptr)
     row = np.repeat(np.arange(len(y)), np.diff(first))
     state: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     step = 0
     for phase in range(2):
-        x = embed(p, feats)
         if phase:
-            power = logits(p, x, start, end)
+            power = _all_logits(p, feats, ptr)
         else:
-            odds = np.concatenate([[0], np.cumsum(np.maximum(0, x[:, 0] + x[:, 4] + x[:, 6] - 1))])
+            words = p["e_word"][feats["word"], 0] + p["e_four"][feats["four"], 0] + p["e_five"][feats["five"], 0]
+            odds = np.concatenate([[0], np.cumsum(np.maximum(0, words - 1), dtype=float)])
             power = odds[end] - odds[start]
         order = np.lexsort((rng.random(len(row)), -power, row))
         rank = np.arange(len(row)) - first[row[order]]
@@ -250,7 +275,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 120, seed: int = 3) ->
                     if k != "gram":
                         np.add.at(p[f"e_{k}"], own[k], part)
                     c += width
-    best = np.maximum.reduceat(logits(p, embed(p, feats), start, end), first[:-1])
+    best = np.maximum.reduceat(_all_logits(p, feats, ptr), first[:-1])
     if 0 < y[aside].sum() < aside.sum():
         best, y = best[aside], y[aside]
     a, b = 1.0, 0.0
