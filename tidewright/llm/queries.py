@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, mixing, neardup, neighbours, sharding, toxicity
+from . import decontamination, html_text, langid, mixing, neardup, neighbours, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_fair_mix": mixing.op7_fair_mix,
         "op8_hyperminhash": neardup.op8_hyperminhash,
         "op9_two_pass_shuffle": sharding.op9_two_pass_shuffle,
+        "op10_viterbi_language": langid.op10_viterbi_language,
     }
 
 
