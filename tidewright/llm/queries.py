@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, langid, mixing, neardup, neighbours, personal_data, sharding, toxicity
+from . import decontamination, html_text, langid, mixing, neardup, neighbours, packing, personal_data, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_deobfuscated_pii": personal_data.op1_deobfuscated_pii,
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_recurrent_toxicity": toxicity.op3_recurrent_toxicity,
         "op4_text_density": html_text.op4_text_density,
         "op5_positional_index": decontamination.op5_positional_index,
