@@ -6,6 +6,7 @@ by ``spark.checkpoint.dir`` (all executors share it, so a lost executor loses no
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,15 @@ def dropped(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans that nothing refers to any more.
+
+    It does so when the driver's JVM collects its garbage, which a driver with little to do rarely does.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def prefix_sums(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
     """Running totals in a global order: for ``{out: value_column}``, ``out`` is the sum up to and
     including the row.
