@@ -1,67 +1,12 @@
-"""Shared-folder tables that cut lineage, and a prefix sum that never funnels rows through one task.
-
-Intermediate results that are read more than once are written as Parquet below the folder named
-by ``spark.checkpoint.dir`` (all executors share it, so a lost executor loses nothing).
-"""
+"""Table paths, and the library's shared-folder tables under the names used here."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-_own: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where it is unset (tests) a folder of our own."""
-    global _own
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if _own is None:
-        _own = "file://" + tempfile.mkdtemp(prefix="tidewright-")
-    return _own
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tw-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._tw_path = path
-    return back
-
-
-def dropped(*frames: DataFrame) -> None:
-    """Delete tables made by :func:`written` that no live plan reads any more."""
-    for df in frames:
-        path = getattr(df, "_tw_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
 
-def prefix_sums(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
-    """Running totals in a global order: for ``{out: value_column}``, ``out`` is the sum up to and
-    including the row.
+from ..shared import dropped, numbered, prefix_sums, released, shared_folder, written
 
-    Rows are range-partitioned by ``order`` (so a hot leading key is split as long as later
-    columns differ), each range is summed on its own, and the ranges' totals, one row per
-    partition, are offset against one another.
-    """
-    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    parts = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = parts.select("_part", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums])
-    local = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(offsets), "_part")  # bounded: one row per shuffle partition
-    return out.select(*df.columns, *[(F.col(f"_o_{o}") + F.sum(c).over(local)).alias(o) for o, c in sums.items()])
+__all__ = ["dropped", "numbered", "path_of", "prefix_sums", "released", "shared_folder", "written"]
 
 
 def path_of(sf_dir: str, table: str) -> str:
