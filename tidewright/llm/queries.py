@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, langid, mixing, neardup, neighbours, packing, personal_data, sharding, toxicity
+from . import decontamination, html_text, langid, mixing, neardup, neighbours, oracles, packing, personal_data, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_fair_mix": mixing.ORACLE}
+    return {"op5_positional_index": oracles.CONTAMINATION, "op7_fair_mix": mixing.ORACLE, "op8_hyperminhash": oracles.NEAR_DUPLICATES}
