@@ -366,7 +366,7 @@ def ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT conv_id, p AS page_number, CASE WHEN p = 1 THEN 8.5 ELSE 0.0 END AS width, CAST(0 AS DOUBLE) AS height, CASE WHEN p = 1 THEN 'cm' ELSE 'inch' END AS unit, CAST(1 AS INTEGER) AS n_words, CAST(0 AS INTEGER) AS n_polygon, "
+    "SELECT conv_id, p AS page_number, CAST(CASE WHEN p = 1 THEN 8.5 ELSE 0.0 END AS DOUBLE) AS width, CAST(0 AS DOUBLE) AS height, CASE WHEN p = 1 THEN 'cm' ELSE 'inch' END AS unit, CAST(1 AS INTEGER) AS n_words, CAST(0 AS INTEGER) AS n_polygon, "
     "CAST(count(*) AS INTEGER) AS n_lines, CAST(CASE WHEN conv_id % 2 = 1 THEN count(*) ELSE 0 END AS INTEGER) AS n_paragraphs FROM conversations, (SELECT unnest([1, 2]) AS p) GROUP BY conv_id, p"
 )
 def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,7 +407,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT conv_id, turn, 'm1' AS model, CASE WHEN turn % 3 = 0 THEN role END AS system, text AS user, 0.2 AS temperature, CASE WHEN turn % 2 = 0 THEN 'json_object' END AS format, "
+    "SELECT conv_id, turn, 'm1' AS model, CASE WHEN turn % 3 = 0 THEN role END AS system, text AS user, CAST(0.2 AS DOUBLE) AS temperature, CASE WHEN turn % 2 = 0 THEN 'json_object' END AS format, "
     "CASE WHEN turn % 4 = 0 THEN CAST(99 AS INTEGER) END AS max_tokens FROM conversations"
 )
 def chat_body_openai(spark: SparkSession, sf_dir: str) -> DataFrame:
