@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import wordblocks as wb
 from .components import components
-from .scratch import dropped, path_of, written
+from .scratch import dropped, path_of, released, written
 
 SHINGLE = 3
 SIMILARITY = 85  # per cent
@@ -106,6 +106,19 @@ def likely(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return j >= at - SLACK * np.sqrt(at * (1 - at) / np.maximum(used, 1))
 
 
+def folded(sig: np.ndarray) -> np.ndarray:
+    """Registers hashed to 8 bits, 0 still empty, for comparing within buckets."""
+    return np.where(sig == 0, 0, (sig.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(24)) % 255 + 1).astype(np.uint8)
+
+
+def likely_folded(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """As :func:`likely` on folded registers, of which unrelated ones agree by chance in 1 of 255."""
+    at = SIMILARITY / 100
+    used = np.maximum(((x | y) != 0).sum(-1), 1)
+    same = ((x == y) & (x != 0)).sum(-1)
+    return same - used * (COLLISION / 2**MANTISSA + 1 / 255) >= used * (at - SLACK * np.sqrt(at * (1 - at) / used))
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """The definition, on full sets."""
     if not len(a) or not len(b):
@@ -121,20 +134,25 @@ def _row_key() -> F.Column:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id``, ``n`` (set size), ``cls`` (128-bit digest of its set), ``key`` of the row, ``sig``."""
+    """Per document: ``doc_id``, ``n`` (set size), ``cls`` (128-bit digest of its set), ``key`` of the row, ``sig``, ``mini``."""
     wide = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", _row_key())
     id_type = wide.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in wb.blocks(batches):
-            n, cls, sig = [], [], []
+            n, cls, sig, mini = [], [], [], []
             for s in text_sets(block.column(1)):
                 n.append(len(s))
                 cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sig.append(registers(s).tobytes())
-            yield pa.record_batch([block.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), block.column(2), pa.array(sig, pa.binary())], names=["doc_id", "n", "cls", "key", "sig"])
+                r = registers(s)
+                sig.append(r.tobytes())
+                mini.append(folded(r).tobytes())
+            yield pa.record_batch(
+                [block.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), block.column(2), pa.array(sig, pa.binary()), pa.array(mini, pa.binary())],
+                names=["doc_id", "n", "cls", "key", "sig", "mini"],
+            )
 
-    return wide.mapInArrow(run, f"doc_id {id_type}, n long, cls binary, key binary, sig binary")
+    return wide.mapInArrow(run, f"doc_id {id_type}, n long, cls binary, key binary, sig binary, mini binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -145,6 +163,10 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("cls", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("band"))
 
 
+def _minis(column: pa.ChunkedArray) -> np.ndarray:
+    return wb.raw(column.combine_chunks())[0].reshape(-1, REGISTERS)
+
+
 def _sigs(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     buf, _ = wb.raw(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
     return buf.view(np.uint16).reshape(-1, REGISTERS) if buf.flags["C_CONTIGUOUS"] and not buf.ctypes.data % 2 else np.frombuffer(buf.tobytes(), np.uint16).reshape(-1, REGISTERS)
@@ -203,20 +225,20 @@ def _across(bands: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame
     placed = written(placed.join(mixed, "band"))
     per = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
     main = per.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    full = placed.join(main, "band").join(classes.select("cls", "n", "sig"), "cls")
+    full = placed.join(main, "band").join(classes.select("cls", "n", "mini"), "cls")
     full = full.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("long")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    held = full.select("band", F.col("own").alias("block"), F.lit(False).alias("lesser"), "cls", "root", "n", "sig")
-    sent = full.where("root <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("lesser"), "cls", "root", "n", "sig")
+    held = full.select("band", F.col("own").alias("block"), F.lit(False).alias("lesser"), "cls", "root", "n", "mini")
+    sent = full.where("root <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("lesser"), "cls", "root", "n", "mini")
 
     def compare(_key: tuple[pa.Scalar, ...], g: pa.Table) -> pa.Table:
         lesser = g.column("lesser").to_numpy()
-        names, root, n, sig = np.array(g.column("cls").to_pylist(), object), np.array(g.column("root").to_pylist(), object), g.column("n").to_numpy(), _sigs(g.column("sig"))
+        names, root, n, sig = np.array(g.column("cls").to_pylist(), object), np.array(g.column("root").to_pylist(), object), g.column("n").to_numpy(), _minis(g.column("mini"))
         inner = np.flatnonzero(~lesser)
         a, b = [], []
         for i in np.flatnonzero(lesser).tolist():
             other = inner[(root[inner] != root[i]) & (np.minimum(n[inner], n[i]) * 100 >= np.maximum(n[inner], n[i]) * SIMILARITY)]
             if len(other):
-                for j in other[likely(sig[other], sig[i][None, :])].tolist():
+                for j in other[likely_folded(sig[other], sig[i][None, :])].tolist():
                     x, y = sorted((names[i], names[j]))
                     a.append(x)
                     b.append(y)
@@ -230,8 +252,8 @@ def groups(docs: DataFrame) -> DataFrame:
     sketches = written(sketch(docs))
     classes = written(
         sketches.where("n > 0").groupBy("cls").agg(
-            F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "key")).alias("rep"), F.first("sig").alias("sig")
-        ).select("cls", "least_id", "n", F.col("rep.key").alias("key"), "sig")
+            F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "key")).alias("rep"), F.first("sig").alias("sig"), F.first("mini").alias("mini")
+        ).select("cls", "least_id", "n", F.col("rep.key").alias("key"), "sig", "mini")
     )
     bands = _bands(classes)
     least = bands.groupBy("band").agg(F.min("cls").alias("a"), F.count("*").alias("members")).where("members > 1").drop("members")
@@ -239,8 +261,11 @@ def groups(docs: DataFrame) -> DataFrame:
     stars = written(_likely_pairs(star, classes))
     first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = written(_confirmed(first, classes, docs))
+    released(docs.sparkSession)
     roots = written(components(links))
+    released(docs.sparkSession)
     rest = written(_across(bands, roots, classes).join(first, ["a", "b"], "left_anti"))
+    released(docs.sparkSession)
     if rest.limit(1).count():
         more = written(_confirmed(rest, classes, docs))
         roots = written(components(links.unionByName(more)))
@@ -248,9 +273,10 @@ def groups(docs: DataFrame) -> DataFrame:
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_class = named.join(ids, "root").select("cls", "component_id")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = sketches.drop("sig").join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "key")
+    out = sketches.drop("sig", "mini").join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "key")
     result = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     result = written(result)
+    released(docs.sparkSession)
     dropped(sketches, classes, stars, links, roots, rest)
     return result
 
