@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 4 << 20
+#: bytes hashed at once; the arrays stay in cache
+HASH_BYTES = 1 << 18
 
 #: not ASCII white space
 SPACED = np.ones(256, bool)
@@ -99,7 +101,7 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         while at < len(starts):
             base = int(starts[at])
-            to = max(at + 1, int(np.searchsorted(ends, base + BLOCK_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, base + HASH_BYTES, "right")))
             s, e = starts[at:to] - base, ends[at:to] - base
             n = int(e[-1])
             _powers(n + 1)
