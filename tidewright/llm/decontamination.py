@@ -6,7 +6,7 @@ list ever has to be shuffled or held whole, however common its token. A phrase i
 shard by intersecting the offset-adjusted lists of its tokens from the corpus-rarest on; proximity
 matches are windows of bounded width that hold all tokens.
 
-Defined results: a null or empty text has no words; an item without words is skipped; an item with
+Defined results: a null or empty text has no words; an item without words is skipped; an item without id hits words but isn't listed; an item with
 fewer words than the window is one window; repeated items and rows count on their own; empty tables
 give no hits; columns other than those named are ignored (:func:`contamination`) or carried
 (:func:`clean`), where columns named like the added ones are replaced.
@@ -111,6 +111,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", shard_bytes: int = SHAR
     (position in the shard), the id, ``first_word`` and ``n_words``. With ``vocabulary`` only those terms are
     stored, which suffices for any query made of them.
     """
+    wb.small_batches(docs.sparkSession)
     wanted = None
     if vocabulary is not None:
         joined = " ".join(vocabulary).encode("utf-8")
@@ -324,7 +325,7 @@ def brute_force(docs: Iterable[tuple[object, str | None]], items: Iterable[tuple
             for k in range(len(w) - n + 1):
                 if (own := known.get(tuple(w[k : k + n]))) is not None:
                     hit.update(range(k, k + n))
-                    found.update(map(str, own))
+                    found.update(str(o) for o in own if o is not None)
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc, len(w), len(hit), len(found), digest, bool(hit)))
     return out

@@ -245,11 +245,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, object] | None:
     picked = keyed.withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id", "key").distinct()
     got = rows.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "text").collect()  # at most each * langs ids
     got = sorted({(r[0], r[1], r[2]) for r in got})
-    return learn([r[2] for r in got], [r[1] for r in got])
+    model = learn([r[2] for r in got], [r[1] for r in got])
+    del got
+    wb.trimmed()
+    return model
 
 
 def identified(docs: DataFrame, model: dict[str, object] | None) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` of every row."""
+    wb.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size per language
     wide = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 

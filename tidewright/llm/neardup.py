@@ -139,7 +139,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     id_type = wide.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in wb.blocks(batches):
+        for block in wb.blocks(batches, limit=1 << 21):
             n, cls, sig, mini = [], [], [], []
             for s in text_sets(block.column(1)):
                 n.append(len(s))
@@ -249,6 +249,7 @@ def _across(bands: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame
 
 def groups(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, and the ``key`` of its row."""
+    wb.small_batches(docs.sparkSession)
     sketches = written(sketch(docs))
     classes = written(
         sketches.where("n > 0").groupBy("cls").agg(

@@ -258,6 +258,7 @@ def joined(spans: list[Span]) -> str:
 
 def identifiers(docs: DataFrame) -> DataFrame:
     """Per document: counts per kind, ``base_sha256``, ``spans`` (all), and ``n_added``."""
+    wb.small_batches(docs.sparkSession)
     wide = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,10 +6,12 @@ byte view agrees with the code-point view for the classes used here.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 4 << 20
 #: bytes hashed at once; the arrays stay in cache
@@ -50,6 +52,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def trimmed() -> None:
+    """Give freed memory back to the system, which allocators otherwise keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have texts sent to Python in batches of few rows, so that a worker holds few texts at a time."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes of text, or one row."""
     for batch in batches:
@@ -61,6 +78,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = B
             end = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+        trimmed()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
