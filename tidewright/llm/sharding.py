@@ -7,7 +7,7 @@ stream, dealt to the shards in turn, so that shard row counts differ by at most
 
 Defined results: a null text has no bytes and CRC 0; equal rows stay rows of their own; a null id
 hashes like any value; an empty table gives no rows; all other columns are carried along, and
-columns named like the ones added are replaced by them.
+columns named like the ones added (in any case) are replaced by them, those starting with ``_tw_`` dropped.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
 
 def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``shard``, ``slot`` (gapless in the shard from 0) and ``stream_pos``."""
-    keep = [c for c in docs.columns if c not in ADDED and not c.startswith("_tw_")]
+    keep = [c for c in docs.columns if c.lower() not in ADDED and not c.startswith("_tw_")]
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     sized = docs.select(*keep).withColumn("size", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long") + 1).withColumn("text_crc32", crc)
     total = sized.agg(F.sum("size")).first()[0] or 1

@@ -262,7 +262,9 @@ def fit(texts: list[str], toxic: list[int], steps: int = 120, seed: int = 3) ->
                 own = {k: v[used] for k, v in feats.items()}
                 n = (at >= 0).sum(1)
                 begin = np.where(n > 0, place[:, 0], 0)
-                _, grads, dx = gradients(p, embed(p, own), begin, begin + n, y[row[w]])
+                blank = np.zeros(1 + len(w) // 16, np.int64)  # windows without words aren't toxic
+                begin, n, target = np.concatenate([begin, blank]), np.concatenate([n, blank]), np.concatenate([y[row[w]], blank.astype(f4)])
+                _, grads, dx = gradients(p, embed(p, own), begin, begin + n, target)
                 step += 1
                 for k, g in grads.items():
                     m1, m2 = state.get(k, (np.zeros_like(g), np.zeros_like(g)))
@@ -316,16 +318,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str,
     if "calibration" in p and share and 0 < share < 1:  # the sample's classes are balanced otherwise than the labels'
         own = sum(r[1] for r in got) / len(got)
         p["calibration"][1] += np.log(share / (1 - share)) - np.log(own / (1 - own))
+    del got
+    wb.trimmed()
     return p
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``score`` and ``predicted`` of every row."""
+    wb.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # of fixed size
     wide = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in wb.blocks(batches, limit=1 << 21):
+        for block in wb.blocks(batches, limit=1 << 19):
             yield pa.record_batch([block.column(0), pa.array(score_column(shared.value, block.column(1)), pa.float64())], names=["doc_id", "score"])
 
     out = wide.mapInArrow(run, f"doc_id {wide.schema['doc_id'].dataType.simpleString()}, score double")
@@ -334,12 +339,13 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents predicted toxic, in one pass over them."""
+    wb.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     where = docs.columns.index("text")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in wb.blocks(batches, limit=1 << 21):
+        for block in wb.blocks(batches, limit=1 << 19):
             keep = score_column(shared.value, block.column(where)) < THRESHOLD
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in block.columns], names=names)
 
