@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import path_of, prefix_sums, written
+from .scratch import path_of, prefix_sums, row_key, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -91,9 +91,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     """The mix of whole documents: each as often as the queue serves it, with ``docs``' columns.
 
     A document whose last pass is cut by the budget is served in it if at least half fits.
-    Rows are told apart by a hash of id and text, so equal rows share their fate.
+    Rows are told apart by a digest of id and text, so equal rows share their fate.
     """
-    row = F.xxhash64("doc_id", "text", "source")
+    row = row_key()
     sized = docs.select(row.alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
     queued = fair_queue(sized, weights, cap, seed).where(F.col("words") * 2 >= F.col("size")).where(F.col("pass").isNotNull())
     served = queued.groupBy("row").agg(F.first("doc_id").alias("_tw_row"), F.count("*").cast("int").alias("_tw_times"))

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..shared import dropped, numbered, prefix_sums, released, shared_folder, written
 
-__all__ = ["dropped", "numbered", "path_of", "prefix_sums", "released", "shared_folder", "written"]
+__all__ = ["dropped", "numbered", "path_of", "prefix_sums", "released", "row_key", "shared_folder", "written"]
 
 
 def path_of(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
+
+
+def row_key() -> Column:
+    """A 128-bit digest of a document's id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("text"), F.lit("")))))

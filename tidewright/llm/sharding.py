@@ -16,11 +16,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import path_of, written
+from .scratch import path_of, prefix_sums, written
 
 SHARDS = 8
 SEED = 20_240_501
@@ -45,9 +45,8 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     total = sized.agg(F.sum("size")).first()[0] or 1
     buckets = -(-total // bucket_bytes)
     tagged = sized.withColumn("_tw_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_crc32")), F.lit(buckets)))
-    counts = tagged.groupBy("_tw_bucket").count()
-    before = Window.orderBy("_tw_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket of bucket_bytes
-    offsets = written(counts.select("_tw_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).cast("long").alias("_tw_offset")))
+    counts = prefix_sums(tagged.groupBy("_tw_bucket").count(), [F.col("_tw_bucket")], {"upto": "count"})
+    offsets = written(counts.select("_tw_bucket", (F.col("upto") - F.col("count")).cast("long").alias("_tw_offset")))
     schema = T.StructType([*sized.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("stream_pos", T.LongType())])
     names = sized.columns
 
