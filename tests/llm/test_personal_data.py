@@ -31,6 +31,9 @@ DISGUISED = [
     ("bob{at}mail{dot}example{dot}net", "email", "bob{at}mail{dot}example{dot}net"),
     ("john dot smith at mail dot example dot org.", "email", "john dot smith at mail dot example dot org"),
     ("x jоhn@exаmple.com y", "email", "jоhn@exаmple.com"),
+    ("mail john -at- example -dot- com now", "email", "john -at- example -dot- com"),
+    ("write john at example.com today", "email", "john at example.com"),
+    ("john@example dot com", "email", "john@example dot com"),
     ("user＠example.com", "email", "user＠example.com"),
     ("call plus one 5 five five 555 0199 now", "phone", "plus one 5 five five 555 0199"),
     ("＋１ ５５５ 123 4567", "phone", "＋１ ５５５ 123 4567"),
@@ -49,7 +52,7 @@ def test_disguises_map_back_to_the_source(text, kind, span):
     assert (s, pd_.KINDS.index(kind), s + len(span)) in added
 
 
-@pytest.mark.parametrize("text", ["look at example.com now", "The one at that. Two or three", "un deux trois", "meet at 10.30 or at 12.45.", "hi at bo.42@mail.example.com x", "Привет, мир. 文字"])
+@pytest.mark.parametrize("text", ["look at example.com now", "it is available at www.example.com.", "The one at that. Two or three", "un deux trois", "meet at 10.30 or at 12.45.", "hi at bo.42@mail.example.com x", "Привет, мир. 文字"])
 def test_clean_text_gains_nothing(text):
     assert next(pd_.find(pa.array([text])))[1] == []
 

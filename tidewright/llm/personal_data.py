@@ -53,12 +53,18 @@ _WORD = "|".join(sorted(map(re.escape, _DIGITS), key=len, reverse=True))
 _D = rf"(?:[0-9]|(?<![^\W\d_])(?:{_WORD})(?![^\W\d_]))"
 _SEP = r"[\s.,()/-]{0,3}"
 _ATW, _DOTW = "|".join(_AT_WORDS), "|".join(_DOT_WORDS)
-_DOTSEP = rf"(?:\s?[(\[{{<]\s?(?:{_DOTW}|\.)\s?[)\]}}>]\s?|[_*-]+(?:{_DOTW})[_*-]+|\s+(?:{_DOTW})\s+|\s?\.(?=\S)|\s\.\s)"
-_ATSEP = re.compile(rf"\s?[(\[{{<]\s?(?:{_ATW}|@|a)\s?[)\]}}>]\s?|[_*-]+(?:{_ATW})[_*-]+|(?P<bare>\s+(?:{_ATW})\s+)|\s?@\s?", re.I)
+_DOTSEP = rf"(?:\s?[(\[{{<]\s?(?:{_DOTW}|\.)\s?[)\]}}>]\s?|\s?[_*-]+(?:{_DOTW})[_*-]+\s?|\s+(?:{_DOTW})\s+|\s?\.(?=\S)|\s\.\s)"
+_ATSEP = re.compile(rf"\s?[(\[{{<]\s?(?:{_ATW}|@|a)\s?[)\]}}>]\s?|\s?[_*-]+(?:{_ATW})[_*-]+\s?|(?P<bare>\s+(?:{_ATW})\s+)|\s?@\s?", re.I)
 _LEFT = re.compile(rf"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]+(?:{_DOTSEP}[A-Za-z0-9_%+-]+)*\Z", re.I)
 _ATOM = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _RIGHT = re.compile(rf"[A-Za-z0-9-]+(?:(?:{_DOTSEP})[A-Za-z0-9-]+)+", re.I)
 _WORDED = re.compile(rf"(?<![A-Za-z])(?:{_DOTW})(?![A-Za-z])|[(\[{{<]\s?\.\s?[)\]}}>]", re.I)
+#: after "name at host.tld" without other disguise: endings that make it an address, and words before that don't
+_HOSTS = frozenset(("com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "uk", "de", "fr", "es", "eu", "it", "nl", "ch", "at", "be", "us", "ca", "mx", "ar", "br", "pl", "se", "ru", "jp", "cn", "in", "au"))
+_BEFORE_HOSTS = frozenset(
+    ("available", "found", "look", "looking", "us", "me", "him", "her", "them", "it", "is", "are", "was", "page", "site", "website", "online", "here", "more", "read", "see", "visit", "hosted", "published", "info")
+    + ("information", "details", "article", "post", "blog", "work", "works", "working", "store", "shop", "home", "everyone", "team", "folks", "people", "located", "live", "up", "out", "and", "or", "that", "this", "the")
+)
 _PART = rf"{_D}(?:[\s-]?{_D}){{0,2}}"
 _IP_SAID = re.compile(rf"(?<![A-Za-z0-9.])({_PART}){_DOTSEP}({_PART}){_DOTSEP}({_PART}){_DOTSEP}({_PART})(?![A-Za-z0-9])", re.I)
 _CARD_SAID = re.compile(rf"(?<![A-Za-z0-9+]){_D}(?:{_SEP}{_D}){{13,18}}(?![A-Za-z0-9])", re.I)
@@ -168,7 +174,8 @@ def added_spans(text: str, known: list[Span]) -> list[Span]:
             continue
         local = left[0]
         if m["bare"]:
-            if not _WORDED.search(right[0]) and not re.search(r"[0-9._]", local):
+            last = re.split(r"[^A-Za-z0-9-]", right[0])[-1].lower()
+            if not _WORDED.search(right[0]) and not re.search(r"[0-9._]", local) and (last not in _HOSTS or local.lower() in _BEFORE_HOSTS):
                 continue
             if plain[right.end() : right.end() + 1] == "@" or not re.fullmatch(r"[A-Za-z]{2,}", re.split(r"[^A-Za-z0-9-]", right[0])[-1]):
                 continue
