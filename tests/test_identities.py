@@ -67,6 +67,8 @@ def test_encryption(spark):
     df.write.mode("overwrite").format("noop").save()
     rows = df.select("v", "s", tokens.unprotect("s", KEY).alias("back")).collect()
     assert all(r["v"] == r["back"] for r in rows)
+    same = spark.createDataFrame([("x",), ("x",)], "v string").select(tokens.protect("v", KEY).alias("s")).collect()
+    assert same[0]["s"] != same[1]["s"]  # a nonce of its own each time
     with pytest.raises(ValueError):
         tokens.protect("v", b"short")
     with pytest.raises(Exception):

@@ -168,9 +168,6 @@ def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # dates
 
-_SHAPES = ["%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "{m}/{d}/%Y", "%d/%m/%Y", "serial", "%Y-%d-%m", "0001-01-01", " "]
-
-
 @query(
     r"""WITH shaped AS (
   SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 9 AS k,
@@ -208,9 +205,6 @@ def _record(key: str = "p_partkey") -> F.Column:
     return F.concat(F.lit('"'), F.col("p_name"), F.lit(', "" large"  , '), F.col("p_brand"), F.lit(' ,"'), F.col("p_type"), F.lit(' "",x",'), F.col(key).cast("string"))
 
 
-_RECORD = """'"' || p_name || ', "" large"  , ' || p_brand || ' ,"' || p_type || ' "",x",' || p_partkey"""
-
-
 @query("SELECT p_partkey, trim(p_name || ',  large') AS c1, p_brand AS c2, p_type || ' ,x' AS c3, CAST(p_partkey AS VARCHAR) AS c4, CAST(4 AS INTEGER) AS n FROM part")
 def csv_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _table(spark, sf_dir, "part").select("p_partkey", tables.split_csv(_record()).alias("c"))
@@ -431,10 +425,6 @@ def chat_body_anthropic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("conv_id", "turn", "b.model", "b.system", F.get("b.messages", F.lit(0))["content"].alias("user"), F.size("b.messages").alias("n_messages"), "b.max_tokens")
 
 
-def _answer(parts: F.Column, plain: F.Column, k: F.Column) -> F.Column:
-    return F.when(k == 0, plain).when(k == 1, parts)
-
-
 @query("SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN text || text ELSE '' END AS content FROM conversations")
 def extract_openai(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("turn") % 5
