@@ -18,14 +18,13 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordblocks as wb
-from .scratch import path_of, written
+from .scratch import path_of, row_key, written
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -181,64 +180,94 @@ def near(lists: list[np.ndarray], width: int) -> np.ndarray:
     return found
 
 
+def _plan(phrases: list[tuple[str, ...]], rarity: dict[str, int]) -> list[tuple[int, int, list[tuple[int, int, str]]]]:
+    """Per phrase that can occur: its number, length, and (rarity, offset, word) from the rarest on."""
+    return [(k, len(words), sorted((rarity[w], o, w) for o, w in enumerate(words))) for k, words in enumerate(phrases) if all(w in rarity for w in words)]
+
+
+def _matches(rows: pa.Table, plan: list, proximity: int | None) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """One shard's document rows, and per match the document's row, the phrase and the first word."""
+    posts = {t: b for t, b in zip(rows.column("term").to_pylist(), rows.column("postings").to_pylist(), strict=True) if t is not None}
+    part = rows.filter(pa.compute.is_valid(rows.column("doc")))
+    first, count = part.column("first_word").to_numpy(), part.column("n_words").to_numpy()
+    order = np.argsort(first, kind="stable")
+    order = order[count[order] > 0]
+    first, count = first[order], count[order]
+    open_: dict[str, np.ndarray] = {}
+
+    def positions(t: str) -> np.ndarray:
+        if t not in open_:
+            open_[t] = np.cumsum(unvarint(posts[t]))
+        return open_[t]
+
+    docs, which, begin = [], [], []
+    for k, n, words in plan:
+        if not all(w in posts for _, _, w in words):
+            continue
+        if proximity is None:
+            at = positions(words[0][2]) - words[0][1]
+            for _, o, w in words[1:]:
+                if not len(at):
+                    break
+                at = intersect([(0, at), (o, positions(w))])
+            span = n
+        else:
+            at, span = near([positions(w) for w in dict.fromkeys(w for *_, w in words)], proximity), 1
+        if len(at):
+            d = np.searchsorted(first, at, "right") - 1
+            inside = (d >= 0) & (at + span <= first[d] + count[d])
+            at, d = at[inside], d[inside]
+            docs.append(order[d])
+            begin.append(at - first[d])
+            which.append(np.full(len(at), k))
+    return part, *(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (docs, which, begin))
+
+
+def _by_shard(index: DataFrame, table: DataFrame, plan: list) -> DataFrame:
+    """Postings of the plan's words and document rows, to be grouped by shard."""
+    id_type = table.schema["doc_id"].dataType.simpleString()
+    terms = index.sparkSession.createDataFrame([(w,) for w in sorted({w for _, _, words in plan for *_, w in words})], "term string")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    posts = index.join(terms, "term", "left_semi").select("shard", "term", "postings", none("int", "doc"), none(id_type, "doc_id"), none("long", "first_word"), none("long", "n_words"))
+    return posts.unionByName(table.select("shard", none("string", "term"), none("binary", "postings"), "doc", "doc_id", "first_word", "n_words"))
+
+
 def search(index: DataFrame, table: DataFrame, phrases: list[tuple[str, ...]], rarity: dict[str, int], proximity: int | None = None) -> DataFrame:
     """Matches of the phrases: ``doc_id``, ``phrase`` (its number), ``start`` (word of the document).
 
     Exact phrases, or with ``proximity`` every place of a phrase's rarest token that has all its
     other tokens within that many words.
     """
-    spark = index.sparkSession
-    plan = []
-    for k, words in enumerate(phrases):
-        if all(w in rarity for w in words):
-            plan.append((k, len(words), sorted(((rarity[w], o, w) for o, w in enumerate(words)))))
-    shared = spark.sparkContext.broadcast(plan)  # at most ITEM_BLOCK items' windows
-    id_type = table.schema["doc_id"].dataType.simpleString()
+    plan = _plan(phrases, rarity)
+    shared = index.sparkSession.sparkContext.broadcast(plan)  # at most ITEM_BLOCK items' windows
+
+    def run(_key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        part, docs, which, begin = _matches(rows, shared.value, proximity)
+        return pa.table([part.column("doc_id").combine_chunks().take(pa.array(docs)), pa.array(which), pa.array(begin)], names=["doc_id", "phrase", "start"])
+
+    return _by_shard(index, table, plan).groupBy("shard").applyInArrow(run, f"doc_id {table.schema['doc_id'].dataType.simpleString()}, phrase long, start long")
+
+
+def _covered(index: DataFrame, table: DataFrame, phrases: list[tuple[str, ...]], owners: list[list[object]], rarity: dict[str, int]) -> DataFrame:
+    """Per document with matches (``shard``, ``doc``): its covered words and the items' ids."""
+    plan = _plan(phrases, rarity)
+    shared = index.sparkSession.sparkContext.broadcast((plan, [len(p) for p in phrases], owners))  # one block of items
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        posts = {t: b for t, b in zip(rows.column("term").to_pylist(), rows.column("postings").to_pylist(), strict=True) if t is not None}
-        part = rows.filter(pa.compute.is_valid(rows.column("doc")))
-        first, count = part.column("first_word").to_numpy(), part.column("n_words").to_numpy()
-        order = np.argsort(first, kind="stable")
-        order = order[count[order] > 0]
-        first, count = first[order], count[order]
-        open_: dict[str, np.ndarray] = {}
-
-        def positions(t: str) -> np.ndarray:
-            if t not in open_:
-                open_[t] = np.cumsum(unvarint(posts[t]))
-            return open_[t]
-
-        docs, which, begin = [], [], []
-        for k, n, words in shared.value:
-            if not all(w in posts for _, _, w in words):
-                continue
-            if proximity is None:
-                lists = [(words[0][1], positions(words[0][2]))]
-                at = lists[0][1] - words[0][1]
-                for _, o, w in words[1:]:
-                    if not len(at):
-                        break
-                    at = intersect([(0, at), (o, positions(w))])
-                span = n
-            else:
-                at, span = near([positions(w) for w in dict.fromkeys(w for *_, w in words)], proximity), 1
-            if len(at):
-                d = np.searchsorted(first, at, "right") - 1
-                inside = (d >= 0) & (at + span <= first[d] + count[d])
-                at, d = at[inside], d[inside]
-                docs.append(order[d])
-                begin.append(at - first[d])
-                which.append(np.full(len(at), k))
-        docs, which, begin = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (docs, which, begin))
-        picked = part.column("doc_id").combine_chunks().take(pa.array(docs))
-        return pa.table([rows.column("shard").combine_chunks()[:1].take(pa.array(np.zeros(len(docs), np.int64))), part.column("doc").combine_chunks().take(pa.array(docs)), picked, pa.array(which), pa.array(begin)], names=["shard", "doc", "doc_id", "phrase", "start"])
-
-    used = sorted({w for _, _, words in plan for *_, w in words})
-    terms = spark.createDataFrame(pd.DataFrame({"term": used}), "term string")
-    rows = index.join(terms, "term", "left_semi").select("shard", "term", "postings", F.lit(None).cast("int").alias("doc"), F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("n_words"))
-    rows = rows.unionByName(table.select("shard", F.lit(None).cast("string").alias("term"), F.lit(None).cast("binary").alias("postings"), "doc", "doc_id", "first_word", "n_words"))
-    return rows.groupBy("shard").applyInArrow(run, f"shard long, doc int, doc_id {id_type}, phrase long, start long")
+        plan, lengths, own = shared.value
+        part, docs, which, begin = _matches(rows, plan, None)
+        hits: dict[int, tuple[set[int], set[str]]] = {}
+        for d, k, a in zip(docs.tolist(), which.tolist(), begin.tolist(), strict=True):
+            words, items = hits.setdefault(d, (set(), set()))
+            words.update(range(a, a + lengths[k]))
+            items.update(str(o) for o in own[k] if o is not None)
+        doc = part.column("doc").combine_chunks().take(pa.array(list(hits), pa.int64()))
+        return pa.table(
+            [pa.array([key[0].as_py()] * len(hits), pa.int64()), doc, pa.array([sorted(w) for w, _ in hits.values()], pa.list_(pa.int64())), pa.array([sorted(i) for _, i in hits.values()], pa.list_(pa.string()))],
+            names=["shard", "doc", "words", "item_ids"],
+        )
+
+    return _by_shard(index, table, plan).groupBy("shard").applyInArrow(run, "shard long, doc int, words array<long>, item_ids array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -258,8 +287,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     hits = None
     for k in range(parts):
         phrases, owners = item_windows(_block(all_items, k, parts), window)
-        found = search(index, table, phrases, rarity)
-        spread = _covered(found, phrases, owners)
+        spread = _covered(index, table, phrases, owners, rarity)
         hits = spread if hits is None else hits.unionByName(spread)
     if hits is None:
         return table.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"))
@@ -277,28 +305,9 @@ def _block(items: DataFrame, k: int, parts: int) -> list[tuple[object, str | Non
     return sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0], r[1] or ""))
 
 
-def _covered(found: DataFrame, phrases: list[tuple[str, ...]], owners: list[list[object]]) -> DataFrame:
-    """Per document the covered word numbers and item ids of its matches."""
-    shared = found.sparkSession.sparkContext.broadcast(([len(p) for p in phrases], owners))  # one block of items
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lengths, own = shared.value
-        for b in batches:
-            out = []
-            for (s, d), g in b.groupby(["shard", "doc"], sort=False):
-                hit = {int(a) + i for a, p in zip(g["start"], g["phrase"], strict=True) for i in range(lengths[p])}
-                items = {str(o) for p in g["phrase"].unique() for o in own[p] if o is not None}
-                out.append((s, d, sorted(hit), sorted(items)))
-            yield pd.DataFrame(out, columns=["shard", "doc", "words", "item_ids"])
-
-    part = found.mapInPandas(run, "shard long, doc int, words array<long>, item_ids array<string>")
-    # a shard's matches may come in several batches
-    return part.groupBy("shard", "doc").agg(F.flatten(F.collect_list("words")).alias("words"), F.flatten(F.collect_list("item_ids")).alias("item_ids"))
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a window of the benchmark."""
-    numbered = docs.withColumn("_tw_row", F.xxhash64("doc_id", "text"))
+    numbered = docs.withColumn("_tw_row", row_key())
     found = contamination(numbered.select(F.col("_tw_row").alias("doc_id"), "text"), benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_tw_row")).distinct()
     return numbered.join(found, "_tw_row", "left_anti").select(*docs.columns)
 
