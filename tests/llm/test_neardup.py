@@ -62,6 +62,8 @@ def test_odd_rows(docs, empty):
     assert once.columns == named.columns
     kept = {w[0] for w in want if w[3]}
     assert sorted(r["doc_id"] for r in once.collect()) == sorted(kept)
+    nameless = docs.limit(0).sparkSession.createDataFrame([(None, "one two three four"), (None, "five six seven"), (None, "five six seven"), (None, ""), (None, None)], "doc_id long, text string")
+    assert sorted(str(r["text"]) for r in neardup.one_of_each(nameless).collect()) in (["", "five six seven", "one two three four"], ["None", "five six seven", "one two three four"])
 
 
 @pytest.mark.parametrize("block", [5, 512])

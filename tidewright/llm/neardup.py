@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import wordblocks as wb
 from .components import components
-from .scratch import dropped, path_of, released, written
+from .scratch import dropped, path_of, released, row_key, written
 
 SHINGLE = 3
 SIMILARITY = 85  # per cent
@@ -43,7 +43,8 @@ SLACK = 5.0
 #: expected share of equal registers among unrelated sets, times 2^MANTISSA
 COLLISION = 0.169919487159739
 BLOCK = 512
-CHUNK = 1000
+#: shingles that are checked against one set in one go
+CHUNK = 400_000
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -129,13 +130,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= SIMILARITY * (len(a) + len(b) - both)
 
 
-def _row_key() -> F.Column:
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("text"), F.lit("")))))
-
-
 def sketch(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, ``n`` (set size), ``cls`` (128-bit digest of its set), ``key`` of the row, ``sig``, ``mini``."""
-    wide = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", _row_key())
+    wide = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", row_key())
     id_type = wide.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,12 +189,13 @@ def _likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked. Members meet their ``a`` in chunks of about ``CHUNK``."""
-    load = pairs.groupBy("a").agg(F.count("*").alias("load"))
-    cells = pairs.join(load, "a").withColumn("cell", F.pmod(F.xxhash64("b"), F.ceil(F.col("load") / CHUNK).cast("long"))).select("a", "b", "cell")
-    needs = cells.select("a", "cell", F.col("b").alias("cls")).unionByName(cells.select("a", "cell", F.col("a").alias("cls")).distinct())
-    needs = needs.join(classes.select("cls", "key"), "cls")
-    texts = docs.select(_row_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """The pairs (a, b) whose full sets are linked. Members meet their ``a`` in chunks of about ``CHUNK`` shingles."""
+    sized = pairs.join(classes.select(F.col("cls").alias("b"), "n", "key"), "b")
+    load = pairs.join(classes.select(F.col("cls").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("load"))
+    cells = sized.join(load, "a").withColumn("cell", F.pmod(F.xxhash64("b"), F.ceil(F.col("load") / CHUNK).cast("long")))
+    heads = cells.select("a", "cell").distinct().join(classes.select(F.col("cls").alias("a"), "key"), "a")
+    needs = cells.select("a", "cell", F.col("b").alias("cls"), "key").unionByName(heads.select("a", "cell", F.col("a").alias("cls"), "key"))
+    texts = docs.select(row_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     texts = texts.join(needs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     rows = texts.join(needs, "key").select("a", "cell", "cls", "text")
 
@@ -248,7 +246,7 @@ def _across(bands: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, and the ``key`` of its row."""
+    """Per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, the ``key`` of its row, and its ``group`` (null without shingles)."""
     wb.small_batches(docs.sparkSession)
     sketches = written(sketch(docs))
     classes = written(
@@ -272,9 +270,9 @@ def groups(docs: DataFrame) -> DataFrame:
         roots = written(components(links.unionByName(more)))
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least_id", F.coalesce("root", "cls").alias("root"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_class = named.join(ids, "root").select("cls", "component_id")
+    of_class = named.join(ids, "root").select("cls", "component_id", F.col("root").alias("group"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = sketches.drop("sig", "mini").join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "key")
+    out = sketches.drop("sig", "mini").join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "key", "group")
     result = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     result = written(result)
     released(docs.sparkSession)
@@ -284,10 +282,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group, its least id; repeated rows are one row."""
-    kept = groups(docs).where("kept").select(F.col("key").alias("_tw_key"), "component_id", "n_shingles")
-    once = kept.where("n_shingles > 0").groupBy("component_id").agg(F.min("_tw_key").alias("_tw_key")).select("_tw_key")
+    kept = groups(docs).where("kept").select(F.col("key").alias("_tw_key"), "group", "n_shingles")
+    once = kept.where("n_shingles > 0").groupBy("group").agg(F.min("_tw_key").alias("_tw_key")).select("_tw_key")
     alone = kept.where("n_shingles = 0").select("_tw_key").distinct()
-    named = docs.withColumn("_tw_key", _row_key())
+    named = docs.withColumn("_tw_key", row_key())
     return named.join(once.unionByName(alone), "_tw_key", "left_semi").dropDuplicates(["_tw_key"]).select(*docs.columns)
 
 
