@@ -35,6 +35,11 @@ SCHEMA_INDEX = "shard long, term string, postings binary, df long"
 
 def varint(values: np.ndarray) -> bytes:
     """LEB128 of non-negative integers."""
+    return _encoded(values)[0]
+
+
+def _encoded(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """LEB128 of all values, and the bytes each takes."""
     v = values.astype(np.uint64)
     width = np.maximum(1, (64 - _leading(v) + 6) // 7)
     ends = np.cumsum(width)
@@ -44,7 +49,7 @@ def varint(values: np.ndarray) -> bytes:
         live = width > k
         part = (v[live] >> np.uint64(7 * k)) & np.uint64(0x7F)
         out[at[live] + k] = part | np.where(width[live] > k + 1, 0x80, 0).astype(np.uint64)
-    return out.tobytes()
+    return out.tobytes(), width
 
 
 def _leading(v: np.ndarray) -> np.ndarray:
@@ -86,20 +91,27 @@ def item_windows(items: Iterable[tuple[object, str | None]], window: int = WINDO
     return list(owners), list(owners.values())
 
 
-def _postings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, wanted: np.ndarray | None) -> Iterator[tuple[str, np.ndarray]]:
-    """Each token of a block with its sorted word numbers; ``wanted``: sorted hashes to keep, or all."""
+def _postings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc_of: np.ndarray, wanted: np.ndarray | None) -> tuple[list[str], list[bytes], np.ndarray]:
+    """Each token of a block, its encoded word numbers, and in how many documents it is; ``wanted``: sorted hashes to keep, or all."""
     h = wb.hashes(buf, starts, ends)
     at = np.arange(len(h))
     if wanted is not None:
         keep = np.zeros(len(h), bool) if not len(wanted) else wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
         h, at = h[keep], at[keep]
+    if not len(h):
+        return [], [], np.zeros(0, np.int64)
     order = np.argsort(h, kind="stable")
     h, at = h[order], at[order]
-    cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    low = wb.LOWER[buf]
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(h)], strict=False):
-        p = at[a:b]
-        yield low[starts[p[0]] : ends[p[0]]].tobytes().decode("utf-8"), p
+    opens = np.concatenate([[True], h[1:] != h[:-1]])
+    cut = np.flatnonzero(opens)
+    gaps = np.where(opens, at, np.diff(at, prepend=0))
+    data, width = _encoded(gaps)
+    edge = np.concatenate([[0], np.cumsum(np.add.reduceat(width, cut))]).tolist()
+    own = doc_of[at]
+    df = np.add.reduceat((opens | (np.diff(own, prepend=-1) != 0)).astype(np.int64), cut)
+    low, first = wb.LOWER[buf], at[cut]
+    terms = [low[s:e].tobytes().decode("utf-8") for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    return terms, [data[x:y] for x, y in zip(edge, edge[1:], strict=False)], df
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", shard_bytes: int = SHARD_BYTES, vocabulary: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -128,17 +140,12 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", shard_bytes: int = SHAR
             buf, offs = wb.raw(block.column(1))
             starts, ends, ptr = wb.spans(buf, offs, wb.ALNUM)
             doc_of = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-            terms, posts, dfs = [], [], []
-            for term, p in _postings(buf, starts, ends, wanted):
-                terms.append(term)
-                posts.append(varint(np.diff(p, prepend=0)))
-                dfs.append(1 + int(np.count_nonzero(np.diff(doc_of[p]))))
-            n, d = len(terms), block.num_rows
-            none = lambda k, t: pa.nulls(k, t)
+            terms, posts, df = _postings(buf, starts, ends, doc_of, wanted)
+            n, d, none = len(terms), block.num_rows, pa.nulls
             yield pa.record_batch(
                 [
                     pa.array(np.full(n + d, serial)), pa.array(terms + [None] * d, pa.string()), pa.array(posts + [None] * d, pa.binary()),
-                    pa.array(dfs + [None] * d, pa.int64()), pa.concat_arrays([none(n, pa.int32()), pa.array(np.arange(d, dtype=np.int32))]),
+                    pa.concat_arrays([pa.array(df, pa.int64()), none(d, pa.int64())]), pa.concat_arrays([none(n, pa.int32()), pa.array(np.arange(d, dtype=np.int32))]),
                     pa.concat_arrays([none(n, block.column(0).type), block.column(0)]),
                     pa.concat_arrays([none(n, pa.int64()), pa.array(ptr[:-1])]), pa.concat_arrays([none(n, pa.int64()), pa.array(np.diff(ptr))]),
                 ],
