@@ -57,6 +57,42 @@ def test_clean_text_gains_nothing(text):
     assert next(pd_.find(pa.array([text])))[1] == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["john[@]example.com", "john (@) example.com", "john(a)example.com", "+49 170 five five 1234567", "192.168.one.one", "bo.42 at my-host.com", "1 2.3.4.5", "bob@example .com", "jo_AT_host[.]de", "+4 FÜNF 2 3 4 5 6 7 8 9 1", "x ÄT y dot com"],
+)
+def test_every_disguise_is_looked_for(text):
+    base, added = next(pd_.find(pa.array([text])))
+    assert added and added == pd_.added_spans(text, base)
+    assert next(pd_.find(pa.array(["foo", text, "bar"])[1:]))[1] == added
+
+
+def test_find_is_added_spans_without_the_gate():
+    rng = random.Random(3)
+    bits = ["at", "AT", "ät", "Ät", "a", "@", "chez", "arroba", "dot", "Punkt", "point", ".", ".", "(", ")", "[", "]", "{", "<", ">", "_", "*", "-", " ", " ", " ", "\n", "\x1c"]
+    bits += ["john", "example", "com", "de", "my-host", "plus", "+", "1", "7", "25", "411", "one", "Five", "fünf", "FÜNF", "zéro", "dos", ",", "/", "×", "é", "е", "١", "bo.42"]
+    numbers = ["1", "7", "one", "Five", "FÜNF", "zéro", "4", "0", "dos", "nine"]
+    found = [0] * 4
+    texts = []
+    for _ in range(30_000):
+        kind = rng.randrange(4)
+        if kind == 0:
+            texts.append("".join(rng.choices(bits, k=rng.randint(1, 14))))
+        elif kind == 1:
+            at, dot = rng.choice(["@", "[@]", "(a)", " at ", "_at_", "< AT >", " @ ", "ät", "-chez-"]), rng.choice([".", " .", "[.]", " dot ", "_punkt_", " . ", "( point )"])
+            texts.append(rng.choice(["", "a ", "x."]) + "bo1" + at + rng.choice(["host", "my-host", "-", "é"]) + dot + "com" + rng.choice(bits))
+        elif kind == 2:
+            dot = rng.choice([".", " .", "[.]", " dot ", "_punkt_", " . "])
+            texts.append(dot.join("".join(rng.choice(["", " ", "-"]) + rng.choice(numbers) for _ in range(rng.randint(1, 2))) for _ in range(rng.choice([3, 4, 4, 5]))))
+        else:
+            texts.append(rng.choice(["", "+", "plus ", "+ ", "PLUS  ", "s"]) + "".join(rng.choice(["", " ", "-", ". ", "x"][: rng.choice([2, 4, 4, 5])]) + rng.choice(numbers) for _ in range(rng.randint(8, 19))))
+    for text, (base, added) in zip(texts, pd_.find(pa.array(texts)), strict=True):
+        assert added == pd_.added_spans(text, pd_.base_spans(text)), text
+        for _, k, _ in added:
+            found[k] += 1
+    assert min(found) > 40
+
+
 def test_query_columns(spark, docs, empty, texts):
     extra = docs.unionByName(spark.createDataFrame([(900, "é a.b@c.de +1 (555) 555-1234 1.2.3.4", "en", "s", 1, "x", 1, 0.1)], docs.schema))
     got = {r["doc_id"]: r for r in pd_.identifiers(extra).collect() if r["doc_id"] is not None}

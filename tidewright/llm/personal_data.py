@@ -4,7 +4,8 @@ Plain identifiers (emails, IP addresses, card and phone numbers) are found as th
 transducer then normalises look-alike characters, keeping for each character it writes the source
 character it came from; over its output, grammars accept spelled digits and worded or bracketed ``at`` and
 ``dot``; what they detect is mapped back to source characters and added where the source itself isn't already
-plain. Only texts with a trace of a disguise, found on their bytes, go through the transducer.
+plain. Only texts whose bytes allow a disguise (:func:`traces` admits all that the grammars accept) go through the
+transducer.
 
 Defined results: a null or empty text has no spans; spans are code points, end exclusive; equal rows get
 equal results; an empty table gives no rows; only the id and the text are read, and :func:`redacted` carries all
@@ -16,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -204,14 +205,29 @@ def added_spans(text: str, known: list[Span]) -> list[Span]:
     return out
 
 
-_HINTS = np.unique(np.concatenate([wb.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])) for w in (*_DIGITS, "plus")]))
-_DOT_HINTS = np.unique(np.concatenate([wb.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])) for w in _DOT_WORDS]))
-_AT_HINTS = np.unique(np.concatenate([wb.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])) for w in _AT_WORDS]))
+def _hashed(words: Iterable[str]) -> np.ndarray:
+    coded = [w.encode() for w in words]
+    return np.unique(np.concatenate([wb.hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)])) for w in coded]))
+
+
+def _bytes(chars: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(chars)] = True
+    return table
+
+
+_HINTS, _DOT_HINTS, _AT_HINTS = _hashed(_DIGITS), _hashed(_DOT_WORDS), _hashed((*_AT_WORDS, "a"))
+_A_HINT = _hashed(("a",))
+#: first bytes of what isn't ASCII or U+00C0 to U+00FF: look-alikes, white space, folded letters
 _STRANGE = np.zeros(256, bool)
-_STRANGE[[0xC2, *range(0xC6, 0xF8)]] = True
-_STRANGE[0xC4:0xC6] = True
-_OPEN = np.zeros(256, bool)
-_OPEN[list(b"([{<_*-")] = True
+_STRANGE[[0xC2, *range(0xC4, 0xF8)]] = True
+_SPACE = _bytes(bytes((*range(0x09, 0x0E), *range(0x1C, 0x21))))
+_OPEN = _bytes(b"([{<")
+_JOINT = _SPACE | _OPEN | _bytes(b")]}>_*-")
+_DIGIT = _bytes(b"0123456789")
+_BETWEEN = _SPACE | _bytes(b".,()/-")
+_LETTER = wb.ALNUM & ~_DIGIT
+_HOST = (wb.ALNUM & (np.arange(256) < 0x80)) | _bytes(b"-")
 
 
 def _in(sorted_: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -219,35 +235,85 @@ def _in(sorted_: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def traces(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per row: may it hold plain identifiers; may it hold disguised ones."""
+    """Per row: may it hold plain identifiers; may it hold disguised ones, that is, all that the grammars accept.
+
+    Rows of ASCII and U+00C0 to U+00FF are judged by what each grammar needs: an email any ``@``, or an at-word
+    followed by host characters up to a dot or dot-word; an IP address three dots or dot-words with nothing but
+    digits, spelled or not, around and between them; cards and phones a run of digits with only separators
+    between. All other rows, and those with the two signs among these letters, may hold any.
+    """
     def rows(at: np.ndarray) -> np.ndarray:
         return np.bincount(np.searchsorted(offs, at, "right") - 1, minlength=len(offs) - 1)
 
     n = len(buf)
     if not n:
         return np.zeros(len(offs) - 1, bool), np.zeros(len(offs) - 1, bool)
-    digit = (buf >= 0x30) & (buf <= 0x39)
-    ats = np.flatnonzero(buf == 0x40)
-    plain = (rows(np.flatnonzero(digit)) >= 4) | (rows(ats) > 0)
-    pad = np.concatenate([buf, np.full(3, 0x20, np.uint8)])
-    strange = rows(np.flatnonzero(_STRANGE[buf])) > 0
-    spaced = rows(ats[(pad[ats + 1] == 0x20) | (pad[np.maximum(ats - 1, 0)] == 0x20)]) > 0
-    dots = np.flatnonzero((buf == 0x2E) & (_OPEN[pad[np.arange(-1, n - 1)]]))
-    bracketed = rows(dots) > 0
-    starts, ends, _ = wb.spans(buf, offs, wb.ALNUM)
-    if not len(starts):
-        return plain, strange | spaced | bracketed
+    pad = np.concatenate([buf, np.full(3, 0x20, np.uint8)])  # also what pad[-1] finds
+    digit = _DIGIT[buf]
+    ats = rows(np.flatnonzero(buf == 0x40)) > 0
+    plain = (rows(np.flatnonzero(digit)) >= 4) | ats
+    latin = np.flatnonzero(buf == 0xC3)
+    signs = latin[(pad[latin + 1] == 0x97) | (pad[latin + 1] == 0xB7)]
+    hidden = ats | (rows(np.flatnonzero(_STRANGE[buf])) > 0) | (rows(signs) > 0)
+    capital = latin[(pad[latin + 1] >= 0x80) & (pad[latin + 1] < 0x9F)] + 1
+    if len(capital):
+        buf = buf.copy()
+        buf[capital] += 0x20
+    starts, ends, _ = wb.spans(buf, offs, _LETTER)
     short = np.flatnonzero(ends - starts <= 7)
-    h = wb.hashes(buf, starts[short], ends[short])
-    said = rows(starts[short[_in(_HINTS, h)]]) >= 3
-    dotted = rows(starts[short[_in(_DOT_HINTS, h)]]) > 0
-    at = short[_in(_AT_HINTS, h)]
-    s, e = starts[at], ends[at]
-    held = (_OPEN[pad[np.maximum(s - 1, 0)]] | ((pad[np.maximum(s - 1, 0)] == 0x20) & _OPEN[pad[np.maximum(s - 2, 0)]])) & (s > 0)
-    after = np.minimum(at + 1, len(starts) - 1)
-    host = (pad[ends[after]] == 0x2E) & wb.ALNUM[pad[ends[after] + 1]] & (starts[after] > e)
-    worded = rows(s[held | host]) > 0
-    return plain, strange | spaced | bracketed | said | dotted | worded
+    starts, ends = starts[short], ends[short]
+    h = wb.hashes(buf, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+
+    solid = np.flatnonzero(~_JOINT[buf])  # bytes that aren't joints; an index past the last is n
+    def before(at: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(solid, at) - 1
+        return np.where(k >= 0, solid[np.maximum(k, 0)], -1) if len(solid) else np.full(len(at), -1)
+
+    def after(at: np.ndarray) -> np.ndarray:
+        return np.append(solid, n)[np.searchsorted(solid, at)]
+
+    dot = np.flatnonzero(buf == 0x2E)
+    dot = dot[~_SPACE[pad[dot + 1]] | _SPACE[pad[dot - 1]] | _OPEN[pad[dot - 1]]]
+    said = _in(_DOT_HINTS, h)
+    dots, dots_end = np.concatenate([dot, starts[said]]), np.concatenate([dot + 1, ends[said]])
+    order = np.argsort(dots)
+    dots, dots_end = dots[order], dots_end[order]
+    left, right = before(dots), after(dots_end)
+
+    at = _in(_AT_HINTS, h)
+    s, e, single = starts[at], ends[at], _in(_A_HINT, h[at])
+    prior, next_ = pad[s - 1], pad[e]
+    bracket = _OPEN[prior] | (_SPACE[prior] & _OPEN[pad[s - 2]])
+    ok = _JOINT[next_] & np.where(single, bracket, _JOINT[prior])
+    s, e = s[ok], e[ok]
+    if len(s) and len(dots):
+        alien = np.concatenate([[0], np.cumsum(~_HOST[buf], dtype=np.int32)])
+        host = after(e)
+        k = np.searchsorted(dots, host)
+        there, k = k < len(dots), np.minimum(k, len(dots) - 1)
+        near = (dots[k] == host) | ((left[k] >= host) & (alien[left[k] + 1] == alien[np.minimum(host, n)]))
+        hidden |= rows(s[there & near]) > 0
+
+    number = _in(_HINTS, h)
+    edge = np.zeros(n + 1, np.int8)
+    edge[starts[number]] += 1
+    edge[ends[number]] -= 1
+    marked = digit | (np.cumsum(edge[:-1], dtype=np.int8) > 0)
+    if len(dots) > 2:
+        flanked = (left >= 0) & (right < n) & marked[left] & marked[np.minimum(right, n - 1)]
+        alien = np.concatenate([[0], np.cumsum(~(marked | _JOINT[buf]), dtype=np.int32)])
+        part = flanked[:-1] & flanked[1:] & (left[1:] >= right[:-1]) & (alien[np.maximum(left[1:], 0) + 1] == alien[right[:-1]])
+        hidden |= rows(dots[:-2][part[:-1] & part[1:]]) > 0
+
+    units = np.sort(np.concatenate([np.flatnonzero(digit), starts[number]]))
+    if len(units):
+        breaks = np.flatnonzero(~(marked | _BETWEEN[buf]))
+        run = np.searchsorted(breaks, units)
+        size = np.bincount(run)[run]
+        prior = buf[breaks[np.maximum(run - 1, 0)]] if len(breaks) else np.zeros(len(units), np.uint8)
+        led = (run > 0) & ((prior == 0x2B) | (prior == 0x73) | (prior == 0x53))  # + or the end of "plus"
+        hidden |= rows(units[(size >= 14) | (led & (size >= 10))]) > 0
+    return plain, hidden
 
 
 def find(column: pa.Array) -> Iterator[tuple[list[Span], list[Span]]]:
