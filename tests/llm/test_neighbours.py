@@ -48,3 +48,23 @@ def test_blocks_of_a_hot_leaf_agree(spark, monkeypatch):
     whole = sorted(map(tuple, nb.nearest(df, F.col("vec_id") % 50 == 0).collect()))
     monkeypatch.setattr(nb, "BLOCK_ROWS", 37)
     assert sorted(map(tuple, nb.nearest(df, F.col("vec_id") % 50 == 0).collect())) == whole
+
+
+def test_repeated_rows_change_nothing(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))]
+    once = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    many = spark.createDataFrame(rows * 2 + rows[3:9] * 60, "vec_id long, embedding array<double>").repartition(3)
+    asks = F.col("vec_id") % 20 == 0
+    found = {tuple(r) for r in nb.nearest(many, asks).select("query_id", "rank", "vec_id").collect()}
+    assert found == {tuple(r) for r in nb.nearest(once, asks).select("query_id", "rank", "vec_id").collect()}
+    assert len(found) == 20 * 20
+
+
+def test_an_id_of_many_vectors_crowds_nobody_out(spark):
+    rng = np.random.default_rng(3)
+    near = [(999, [5.0 + 0.001 * i, 5.0, 0.0]) for i in range(300)]
+    rest = [(i, [1.0 + float(rng.random()), 1.0, float(rng.normal())]) for i in range(60)]
+    df = spark.createDataFrame(near + rest, "vec_id long, embedding array<double>")
+    for r in nb.nearest(df, F.col("vec_id") < 10).groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"), F.min_by("vec_id", "rank").alias("first"), F.count("*").alias("rows")).collect():
+        assert (r["n"], r["rows"], r["first"]) == (20, 20, 999)

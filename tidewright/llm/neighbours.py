@@ -6,14 +6,14 @@ trees, visits leaves in the order of the margin by which the query misses them;
 of the visited leaves are scored exactly. To serve inner products the trees see each vector with one
 more component that evens out the norms.
 
-The trees are fitted on a sample by hash of about ``SAMPLE`` vectors, never more than twice that; every vector is indexed in every tree. How many
+The trees are fitted on a sample by hash of about ``SAMPLE`` vectors, never more than twice that; every distinct row is indexed in every tree. How many
 leaves a query visits is measured: the least number that finds ``GOAL`` of the true neighbours of sampled queries
 among the sample, where the neighbours sought there are as deep as ``k`` is in the whole table. A leaf of many
 rows is split into blocks, so that copies of one vector don't meet in one task.
 
 Defined results: vectors that are null, zero, of another length than most, or with null or
-non-finite components take no part, nor do null ids; equal scores go by the smaller id; of rows with one id the best counts; with
-fewer candidates than ``k`` all are returned; an empty table gives no rows; other columns are ignored.
+non-finite components take no part, nor do null ids; equal scores go by the smaller id; equal rows are one; of rows with one id the best counts;
+with fewer than ``k`` other ids all are returned; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,8 +89,11 @@ def leaves(tree: dict[int, tuple[np.ndarray, float]], x: np.ndarray) -> np.ndarr
     return at
 
 
-def visited(forest: Forest, q: np.ndarray, count: int, sizes: dict[tuple[int, int], int], least: int) -> list[tuple[int, int]]:
-    """The first ``count`` non-empty leaves in order of margin, and more until one tree gave ``least`` rows."""
+def visited(forest: Forest, q: np.ndarray, count: int, sizes: dict[tuple[int, int], int], least: int, firsts: dict[tuple[int, int], int] | None = None) -> list[tuple[int, int]]:
+    """The first ``count`` non-empty leaves in order of margin, and more until one tree gave ``least`` ids.
+
+    Where ids have several vectors, ``firsts`` counts each id in one leaf a tree; else rows are ids.
+    """
     margins = [{n: float(w @ q - cut) for n, (w, cut) in tree.items()} for tree in forest]
     queue = [(0.0, t, 1) for t in range(len(forest))]
     got, rows = [], [0] * len(forest)
@@ -100,7 +103,7 @@ def visited(forest: Forest, q: np.ndarray, count: int, sizes: dict[tuple[int, in
         if side is None:
             if size := sizes.get((t, n), 0):
                 got.append((t, n))
-                rows[t] += size
+                rows[t] += size if firsts is None else firsts.get((t, n), 0)
             continue
         near = 2 * n + (side > 0)
         heapq.heappush(queue, (miss, t, near))
@@ -148,11 +151,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_
         return spark.createDataFrame([], out)
     length = common[0][0]
     good = plain.where(usable(F.col("v"), length))
-    limit, n = good.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.count("*")).first()
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")
+    limit, n, n_ids = good.select(norm, "id", F.xxhash64("id", "v").alias("row")).agg(F.max("norm"), F.count_distinct("row"), F.count_distinct("id")).first()
     if not n:
         return spark.createDataFrame([], out)
     chance = F.pmod(F.xxhash64(F.lit(seed), "id", "v"), F.lit(1 << 40)) < int(min(1.0, SAMPLE / n) * (1 << 40))  # SAMPLE rows on average
-    sample = good.where(chance).select("id", "v").limit(2 * SAMPLE).toArrow().sort_by("id")
+    sample = good.where(chance).select("id", "v").distinct().limit(2 * SAMPLE).toArrow().sort_by("id")
     own = _matrix(sample.column("v").combine_chunks(), length)
     rng = np.random.default_rng(seed)
     s = augmented(own, limit)
@@ -167,16 +171,20 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_
                 for t, tree in enumerate(shared.value):
                     yield pa.record_batch([b.column(0), b.column(1), pa.array(np.full(len(x), t, np.int32)), pa.array(leaves(tree, x))], names=["id", "v", "tree", "leaf"])
 
-    indexed = written(good.select("id", "v").mapInArrow(index, "id long, v array<double>, tree int, leaf long"))
+    indexed = written(good.select("id", "v").distinct().mapInArrow(index, "id long, v array<double>, tree int, leaf long"))
     sizes = {(r[0], r[1]): r[2] for r in indexed.groupBy("tree", "leaf").count().collect()}  # at most TREES * 2^DEPTH rows
-    known = spark.sparkContext.broadcast(sizes)
+    firsts = None
+    if n_ids < n:
+        firsts = {(r[0], r[1]): r[2] for r in indexed.groupBy("tree", "id").agg(F.min("leaf").alias("leaf")).groupBy("tree", "leaf").count().collect()}  # as sizes
+    known = spark.sparkContext.broadcast((sizes, firsts))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q, at, tree, leaf, block = _matrix(b.column(1), length), [], [], [], []
+            held, ids = known.value
             for i in range(len(q)):
-                for t, f in visited(shared.value, np.append(q[i], 0.0), count, known.value, k + 1):
-                    for part in range(-(-known.value[t, f] // BLOCK_ROWS)):
+                for t, f in visited(shared.value, np.append(q[i], 0.0), count, held, k + 1, ids):
+                    for part in range(-(-held[t, f] // BLOCK_ROWS)):
                         at.append(i)
                         tree.append(t)
                         leaf.append(f)
@@ -184,7 +192,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_
             at = pa.array(at, pa.int64())
             yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(tree, pa.int32()), pa.array(leaf, pa.int64()), pa.array(block, pa.int64())], names=["id", "v", "tree", "leaf", "block"])
 
-    probes = good.where("asks").select("id", "v").mapInArrow(probe, "id long, v array<double>, tree int, leaf long, block long")
+    probes = good.where("asks").select("id", "v").distinct().mapInArrow(probe, "id long, v array<double>, tree int, leaf long, block long")
     blocks = spark.createDataFrame([(t, f, -(-c // BLOCK_ROWS)) for (t, f), c in sizes.items()], "tree int, leaf long, blocks long")
     held = indexed.join(F.broadcast(blocks), ["tree", "leaf"]).select("id", "v", "tree", "leaf", F.pmod(F.xxhash64("id", "v"), "blocks").alias("block"))  # bounded as sizes
     cells = held.withColumn("asks", F.lit(False)).unionByName(probes.withColumn("asks", F.lit(True)))
@@ -194,23 +202,25 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_
         v = _matrix(g.column("v").combine_chunks(), length)
         m, q = np.flatnonzero(~asks), np.flatnonzero(asks)
         m = m[np.argsort(ids[m], kind="stable")]
+        one, first = np.unique(ids[m], return_index=True)
         qs, vs, sc = [], [], []
         for a in range(0, len(q), 256):
             part = q[a : a + 256]
             score = v[part] @ v[m].T
-            score[ids[part][:, None] == ids[m][None, :]] = -np.inf
-            if len(m) > k:
-                edge = np.partition(score, len(m) - k, axis=1)[:, len(m) - k]
+            if len(one) < len(m):  # of an id's vectors the best
+                score = np.maximum.reduceat(score, first, axis=1)
+            score[ids[part][:, None] == one[None, :]] = -np.inf
+            if len(one) > k:
+                edge = np.partition(score, len(one) - k, axis=1)[:, len(one) - k]
                 i, j = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
             else:
                 i, j = np.nonzero(score > -np.inf)
             value = score[i, j]
-            order = np.lexsort((ids[m][j], -value, i))
+            order = np.lexsort((one[j], -value, i))
             i, j, value = i[order], j[order], value[order]
-            rank = np.arange(len(i)) - np.searchsorted(i, i)
-            keep = rank < k + 8 * (len(np.unique(ids[m])) < len(m))
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
             qs.append(ids[part][i[keep]])
-            vs.append(ids[m][j[keep]])
+            vs.append(one[j[keep]])
             sc.append(value[keep])
         cat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
         return pa.table([cat(qs, pa.int64()), cat(vs, pa.int64()), cat(sc, pa.float64())], names=["query_id", "vec_id", "score"])
