@@ -73,6 +73,25 @@ def test_blocks_and_long_texts_score_alike(network, words):
     assert whole[3] > tox.THRESHOLD > whole[1] and ((whole >= 0) & (whole <= 1)).all()
 
 
+def test_every_gram_of_a_long_run_counts(network):
+    run = "漢字かな交じり文の長い一続きと" + "anothersomewhatlongcompound"
+    have = set(tox._read([run])[0]["gram"].ravel().tolist())
+    code = run.encode()
+    for size, mark in ((4, 40), (5, 42)):
+        for k in range(len(code) - size + 1):
+            gram = np.array([int.from_bytes(code[k : k + size], "little") + (1 << mark)], np.uint64)
+            with np.errstate(over="ignore"):
+                assert int(tox.wb.mix(gram)[0] >> np.uint64(64 - tox.GRAM_BITS)) in have
+    plain, glued = tox.score_column(network, pa.array([" ".join(["abelcomdarhen" + t + "tirmosu"] * 3) for t in ("ghilmono", BAD[2])]))
+    assert glued > plain
+
+
+def test_words_end_at_typographic_marks(network):
+    a, b, c = tox.score_column(network, pa.array(["a bel…florgish—quibbler“florgish”", "a bel florgish quibbler florgish", "a\u3000bel、florgish。quibbler\u00a0«florgish»"]))
+    assert a == b == c > tox.THRESHOLD
+    assert len(tox._read(["foo\u200bbar"])[0]["word"]) == 1
+
+
 def test_rows(spark, docs, empty):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)] + [(1, None, None), (None, 1, 1), (5, 1, 1)], "doc_id long, quality int, toxic int")
     none = labels.where("false")

@@ -1,6 +1,8 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is its hashed word embedding beside embeddings of its character 4- and 5-grams. Overlapping
+A word's input is its hashed word embedding beside embeddings of its first 4 and 5 bytes and the mean over all its
+4- and 5-grams of bytes. Words end at non-ASCII punctuation too; a run of over ``PIECE`` bytes, as of unspaced scripts, is read as
+overlapping pieces that hold each of its 4- and 5-grams, and counts as so many words. Overlapping
 windows of ``WINDOW`` words, ``STRIDE`` apart, cover every text whole; each window is read in both directions,
 pooled by attention and scored; a document's score is the calibrated score of its highest window.
 
@@ -34,6 +36,8 @@ WORD_BITS, GRAM_BITS = 18, 16
 WIDTHS = {"word": 4, "four": 2, "five": 2, "gram": 2}
 INPUT = sum(WIDTHS.values())
 GATES = 3 * HIDDEN
+#: bytes of a piece, and between the starts of pieces: every 5-gram lies in one
+PIECE, PIECE_STEP = 12, 8
 PRIOR = 8.0
 STEP_ROWS = 8192
 BATCH = 128
@@ -42,19 +46,61 @@ ASIDE = 800
 f4 = np.float32
 
 
-def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
-    """Bucket numbers per word: of the word, its first 4 and 5 bytes, and its later 4-grams (-1: none)."""
-    low = np.concatenate([wb.LOWER[buf], np.zeros(12, np.uint8)]).astype(np.uint64)
+def _punctuation(buf: np.ndarray) -> np.ndarray:
+    """The bytes with spaces for punctuation and white space of Latin-1, General Punctuation, CJK, half- and full-width forms."""
+    lead = np.flatnonzero((buf == 0xC2) | (buf == 0xE2) | (buf == 0xE3) | (buf == 0xEF))
+    if not len(lead):
+        return buf
+    pad = np.concatenate([buf, np.zeros(2, np.uint8)])
+    first, second, third = buf[lead], pad[lead + 1], pad[lead + 2]
+    two = (first == 0xC2) & np.isin(second, (0xA0, 0xA1, 0xA7, 0xAB, 0xB6, 0xB7, 0xBB, 0xBF))
+    joiner = (second == 0x80) & (third >= 0x8B) & (third <= 0x8F) | (second == 0x81) & (third >= 0xA0)  # no break
+    three = (first == 0xE2) & ((second == 0x80) | (second == 0x81)) & ~joiner
+    three |= (first == 0xE3) & (second == 0x80) & ((third <= 0x84) | (third >= 0x88) & (third <= 0x9F) | (third == 0xB0))
+    three |= (first == 0xE3) & (second == 0x83) & (third == 0xBB)
+    three |= (first == 0xEF) & (second == 0xBC) & ((third >= 0x81) & (third <= 0x8F) | (third >= 0x9A) & (third <= 0xA0) | (third >= 0xBB) & (third <= 0xBF))
+    three |= (first == 0xEF) & (second == 0xBD) & ((third == 0x80) | (third >= 0x9B) & (third <= 0xA5))
+    out = buf.copy()
+    for k, which in ((0, two | three), (1, two | three), (2, three)):
+        out[lead[which] + k] = 0x20
+    return out
+
+
+def read_words(buf: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Features of all words and pieces, and per row the first (one more at the end)."""
+    buf = _punctuation(buf)
+    starts, ends, ptr = wb.spans(buf, offs, wb.ALNUM)
+    hashed = wb.hashes(buf, starts, ends)
+    count = 1 + np.maximum(0, -(-(ends - starts - PIECE) // PIECE_STEP))
+    first = np.concatenate([[0], np.cumsum(count)])
+    if first[-1] > len(starts):
+        word = np.repeat(np.arange(len(starts)), count)
+        begin = starts[word] + PIECE_STEP * (np.arange(first[-1]) - first[word])
+        starts, ends, hashed = begin, np.minimum(begin + PIECE, ends[word]), hashed[word]
+    return features(buf, starts, ends, hashed), first[ptr]
+
+
+def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashed: np.ndarray) -> dict[str, np.ndarray]:
+    """Bucket numbers per word or piece: of the word, the first 4 and 5 bytes, and all 4- and 5-grams and the last 4 bytes (-1: none)."""
+    low = np.concatenate([wb.LOWER[buf], np.zeros(PIECE, np.uint8)]).astype(np.uint64)
     n = ends - starts
-    byte = [np.where(n > k, low[starts + k], np.uint64(0)) for k in range(8)]
-    four = lambda k: byte[k] | byte[k + 1] << np.uint64(8) | byte[k + 2] << np.uint64(16) | byte[k + 3] << np.uint64(24)
-    bucket = lambda v: (wb.mix(v) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+    bucket = lambda v: (wb.mix(v) >> np.uint64(64 - GRAM_BITS)).astype(np.int32)
+    byte = [np.where(n > k, low[starts + k], np.uint64(0)) for k in range(5)]
+    four = byte[0] | byte[1] << np.uint64(8) | byte[2] << np.uint64(16) | byte[3] << np.uint64(24)
+    grams = np.full((2 * PIECE - 6, len(starts)), -1, np.int32)
     with np.errstate(over="ignore"):
-        word = (wb.hashes(buf, starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        word = (hashed >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         tail = np.maximum(ends - 4, starts)
         last = sum(np.where(n > k, low[tail + k], np.uint64(0)) << np.uint64(8 * k) for k in range(4))
-        grams = [np.where(n >= k + 4, bucket(four(k) + np.uint64(1 << 40)), -1) for k in range(1, 5)] + [bucket(last + np.uint64(1 << 41))]
-        return {"word": word, "four": bucket(four(0)), "five": bucket(four(0) | byte[4] << np.uint64(32)), "gram": np.stack(grams, 1)}
+        grams[0] = bucket(last + np.uint64(1 << 41))
+        run = low[:-4] | low[1:-3] << np.uint64(8) | low[2:-2] << np.uint64(16) | low[3:-1] << np.uint64(24)
+        fours = bucket(run + np.uint64(1 << 40))
+        fives = bucket((run | low[4:] << np.uint64(32)) + np.uint64(1 << 42))
+        for row, size, table in ((1, 4, fours), (PIECE - 2, 5, fives)):
+            for k in range(PIECE - size + 1):
+                some = np.flatnonzero(n >= k + size)
+                grams[row + k, some] = table[starts[some] + k]
+        return {"word": word, "four": bucket(four), "five": bucket(four | byte[4] << np.uint64(32)), "gram": grams.T}
 
 
 def windows(ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,8 +129,12 @@ def initial(rng: np.random.Generator) -> dict[str, np.ndarray]:
 
 def embed(p: dict[str, np.ndarray], feats: dict[str, np.ndarray]) -> np.ndarray:
     g = feats["gram"]
-    grams = sum(np.where((g[:, k] >= 0)[:, None], p["e_gram"][g[:, k]], f4(0)) for k in range(g.shape[1]))
-    grams = grams / np.maximum(1, (g >= 0).sum(1))[:, None].astype(f4)
+    grams, count = np.zeros((len(g), WIDTHS["gram"]), p["e_gram"].dtype), np.zeros(len(g), f4)
+    for k in range(g.shape[1]):
+        some = np.flatnonzero(g[:, k] >= 0)
+        grams[some] += p["e_gram"][g[some, k]]
+        count[some] += 1
+    grams /= np.maximum(1, count)[:, None]
     return np.concatenate([p["e_word"][feats["word"]], p["e_four"][feats["four"]], p["e_five"][feats["five"]], grams], 1).astype(f4)
 
 
@@ -187,8 +237,8 @@ def _read(texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     parts, sizes = [], []
     for block in wb.blocks([pa.record_batch([pa.array(texts, pa.string())], names=["text"])], limit=1 << 20):
         buf, offs = wb.raw(block.column(0))
-        starts, ends, ptr = wb.spans(buf, offs, wb.ALNUM)
-        parts.append({k: v.astype(np.int32) for k, v in features(buf, starts, ends).items()})
+        feats, ptr = read_words(buf, offs)
+        parts.append({k: v.astype(np.int32) for k, v in feats.items()})
         sizes.append(np.diff(ptr))
     return {k: np.concatenate([p[k] for p in parts]) for k in WIDTHS}, np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
@@ -295,9 +345,9 @@ def score_column(p: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
     buf, offs = wb.raw(column)
     if "share" in p:
         return np.full(len(offs) - 1, p["share"][0])
-    starts, ends, ptr = wb.spans(buf, offs, wb.ALNUM)
+    feats, ptr = read_words(buf, offs)
     start, end, first = windows(ptr)
-    w = logits(p, embed(p, features(buf, starts, ends)), start, end)
+    w = logits(p, embed(p, feats), start, end)
     a, b = p["calibration"]
     return 1 / (1 + np.exp(-np.clip(a * np.maximum.reduceat(w, first[:-1]).astype(float) + b, -30, 30)))
 
