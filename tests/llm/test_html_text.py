@@ -25,6 +25,24 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "part",
+    ['<a href="/hidden-gems">Words</a>', '<p title="a hidden place">Words', '<div data-hidden="false">Words</div>', '<a href="/x?id=comments">Words</a>', "<p data-id=comments>Words", "<p aria-hidden=false>Words"]
+    + ['<h2 id="search-engines">Words</h2>', '<h2 id="related-work">Words</h2>', '<h3 id="social-media">Words</h3>', '<span class="ad">Words</span>', '<section><h2>Discussion</h2><p>Words</section>', "<p title=x'y title=\"class='ad'\">Words"],
+)
+def test_article_text_stays(part):
+    assert "Words" in html_text.main_text(PAGE % f"<article><p>First part of it.</p>{part}<p>Last part.</p></article>")
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<p hidden>Words", '<p data-x="y"hidden>Words', '<p aria-hidden="true">Words', "<div id=comments>Words</div>", '<p style="display: none">Words', "<div role=search>Words</div>"]
+    + ["<section><h2>Discussion</h2><p>Words<form><textarea></textarea></form></section>", "<section><h2>Discussion</h2>Words<ul class=comment-list><li>x</ul></section>", "<section><h2>3 Comments</h2>Words</section>"],
+)
+def test_furniture_in_articles_goes(part):
+    assert "Words" not in html_text.main_text(PAGE % f"<article><p>First part of it.</p>{part}<p>Last part.</p></article>")
+
+
 def test_deep_and_hostile_pages_end():
     assert html_text.main_text("<div>" * 50_000 + "x") == "x"
     html_text.main_text('<a href="' * 50_000)

@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .scratch import path_of
 
 _TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|(!--)|[!?])""")
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?+|"[^"]*+"|'[^']*+'""")
+_SEEN = ("class", "id", "role", "hidden", "style")
+_HEADS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _RAW = frozenset(("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
@@ -51,7 +53,9 @@ _EDGES = frozenset(("header", "footer", "masthead", "colophon", "copyright"))
 _CONTENT = frozenset(("article", "entry", "post", "content", "main", "story", "body", "text"))
 _NOT = frozenset(("has", "with", "no", "without"))
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"))
-_TALK = re.compile(r"\s*(?:\d+\s+)?(?:reader\s+)?(?:comments?|replies|responses|leave a (?:reply|comment)|discussion)(?:\s*\(\d+\))?\s*:?\s*", re.I)
+_TALK = re.compile(r"\s*(?:\d+\s+)?(?:reader\s+)?(?:comments?|replies|responses|leave a (?:reply|comment)|(discussion))(?:\s*\(\d+\))?\s*:?\s*", re.I)
+
+_COMMENTS = re.compile(r"comment|repl(?:y|ies)|respon[ds]|disqus", re.I)
 
 
 def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
@@ -64,8 +68,16 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
         return True
     if not attrs or attrs.isspace():
         return False
+    low = attrs.lower()
+    if not any(name in low for name in _SEEN):
+        return False
+    worded = not (in_article and (tag in _INLINE or tag in _HEADS))
+    met = set()
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
+        if name in met:  # of a repeated attribute the first counts
+            continue
+        met.add(name)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         if name == "style":
@@ -74,7 +86,7 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
         elif name == "role":
             if value.lower() in _ROLES:
                 return True
-        elif name in ("class", "id"):
+        elif name in ("class", "id") and worded:
             for one in value.split():
                 words = {w.lower() for w in _WORDS.findall(one)}
                 if words & _NOT:
@@ -88,7 +100,7 @@ class _Page:
     """Nodes in page order with parents, and the page's text and block breaks in order."""
 
     def __init__(self, html: str) -> None:
-        self.tag, self.up, self.out = ["#root"], [-1], [False]
+        self.tag, self.up, self.out, self.talk = ["#root"], [-1], [False], [False]
         self.pieces: list[tuple[int, str | None]] = []  # (node, text), or (node, None) at a block's edge
         stack, article = [0], 0
         at, end = 0, len(html)
@@ -136,6 +148,7 @@ class _Page:
             self.tag.append(tag)
             self.up.append(stack[-1])
             self.out.append(_furniture(tag, m[3], article > 0))
+            self.talk.append(tag == "form" or tag == "textarea" or self.out[-1] and bool(_COMMENTS.search(m[3])))
             if tag not in _INLINE:
                 self.pieces.append((node, None))
             if tag in _VOID or m[3].endswith("/") and tag not in _RAW and tag in ("path", "circle", "rect"):
@@ -161,9 +174,10 @@ def main_text(html: str | None) -> str:
     for i in range(n - 1, 0, -1):
         last[up[i]] = max(last[up[i]], last[i])
         holds[up[i]] |= holds[i] and not out[i]
-    for i, text in page.pieces:  # a talk heading makes its container furniture
-        if text and tag[i] in ("h2", "h3", "h4", "h5", "h6") and len(text) < 60 and _TALK.fullmatch(entities.unescape(text)) and tag[up[i]] in ("div", "section"):
-            out[up[i]] = True
+    for i, text in page.pieces:  # a talk heading makes its container furniture, "Discussion" only beside a list of comments or a form
+        if text and tag[i] in _HEADS[1:] and len(text) < 60 and tag[up[i]] in ("div", "section") and (talk := _TALK.fullmatch(entities.unescape(text))):
+            if not talk[1] or any(page.talk[up[i] : last[up[i]] + 1]):
+                out[up[i]] = True
     for i in range(1, n):
         if out[i] and holds[i] and tag[i] not in _DROP:
             out[i] = False
