@@ -53,3 +53,16 @@ def test_proximity(spark):
     found = dec.search(index, table, [("alpha", "beta", "gamma")], rarity, proximity=5)
     assert {r["doc_id"] for r in found.collect()} == {1, 3}
     assert {r["doc_id"] for r in dec.search(index, table, [("gamma", "beta")], rarity).collect()} == {3}
+
+
+def test_proximity_stays_in_a_document():
+    first, count = np.array([0, 3, 6]), np.array([3, 3, 4])
+    assert dec.near([np.array([2, 4]), np.array([3, 5, 9])], 2, first, count).tolist() == [4]
+    assert dec.near([np.array([3]), np.array([2, 6, 8])], 5, first, count).tolist() == []
+
+
+def test_neighbouring_documents_make_no_match(spark):
+    docs = spark.createDataFrame([(i, ("alpha x", "beta y", "x alpha", "y beta")[i % 4]) for i in range(40)] + [(99, "beta x alpha")], "doc_id long, text string").coalesce(1)
+    index, table = dec.build_index(docs)
+    rarity = {r[0]: r[1] for r in index.groupBy("term").sum("df").collect()}
+    assert {r["doc_id"] for r in dec.search(index, table, [("alpha", "beta")], rarity, proximity=5).collect()} == {99}

@@ -173,17 +173,19 @@ def intersect(lists: list[tuple[int, np.ndarray]]) -> np.ndarray:
     return found
 
 
-def near(lists: list[np.ndarray], width: int) -> np.ndarray:
-    """Proximity: positions of the rarest list's token with every other token within ``width`` words."""
+def near(lists: list[np.ndarray], width: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Proximity: positions of the rarest list's token with every other token within ``width`` words in its document.
+
+    Documents hold ``count`` words from ``first`` on, in order.
+    """
     lists = sorted(lists, key=len)
     found = lists[0]
     for p in lists[1:]:
         if not len(found) or not len(p):
             return found[:0]
-        k = np.searchsorted(p, found)
-        right = np.abs(p[np.minimum(k, len(p) - 1)] - found)
-        left = np.abs(found - p[np.maximum(k - 1, 0)])
-        found = found[np.minimum(left, right) <= width]
+        d = np.searchsorted(first, found, "right") - 1
+        low, high = np.maximum(first[d], found - width), np.minimum(first[d] + count[d] - 1, found + width)
+        found = found[np.searchsorted(p, high, "right") > np.searchsorted(p, low)]
     return found
 
 
@@ -219,7 +221,7 @@ def _matches(rows: pa.Table, plan: list, proximity: int | None) -> tuple[pa.Tabl
                 at = intersect([(0, at), (o, positions(w))])
             span = n
         else:
-            at, span = near([positions(w) for w in dict.fromkeys(w for *_, w in words)], proximity), 1
+            at, span = near([positions(w) for w in dict.fromkeys(w for *_, w in words)], proximity, first, count), 1
         if len(at):
             d = np.searchsorted(first, at, "right") - 1
             inside = (d >= 0) & (at + span <= first[d] + count[d])
