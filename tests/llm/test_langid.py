@@ -79,3 +79,24 @@ def test_rows(docs, empty):
     assert got.count() == docs.count() and got.where("lang_pred is null or score is null").count() == 0
     assert {r["lang_pred"] for r in got.collect()} <= {"en", "und"}
     assert langid.identified(empty, langid.train(empty)).count() == 0
+
+
+def test_every_language_of_a_mixed_text():
+    rng = random.Random(5)
+    names = [f"l{i:02d}" for i in range(12)]
+    table = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(6)] for n in names}
+    make = lambda n, k: " ".join("".join(rng.choices(table[n], k=2)) for _ in range(k))
+    model = langid.learn(*map(list, zip(*[(make(n, 40), n) for n in names for _ in range(20)], strict=True)))
+    text = " ".join(make(n, 40) for n in names)
+    assert [s[2] for s in langid.language_spans(model, text)] == names
+
+
+def test_viterbi_with_many_states(monkeypatch):
+    rng = np.random.default_rng(1)
+    ptr = np.array([0, 0, 7, 400, 530])
+    scores = rng.normal(0, 2, (530, 300)).astype(np.float32)
+    for limit in (64 << 20, 1 << 20):
+        monkeypatch.setattr(langid, "ACROSS_BYTES", limit)
+        got = langid.viterbi(scores, ptr, 3.0)
+        for a, b in zip(ptr, ptr[1:], strict=False):
+            assert got[a:b].tolist() == one_pass(scores[a:b], 3.0)

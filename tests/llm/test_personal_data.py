@@ -93,6 +93,14 @@ def test_find_is_added_spans_without_the_gate():
     assert min(found) > 40
 
 
+@pytest.mark.parametrize("text", ["a" * 300 + " (at) example (dot) com", "card 4111.1111.1111.1111 ok", "call +49/30/1234567890 now", ".".join(["word"] * 200) + " (at) example (dot) com", "bo -dot-smith (at) host.com"])
+def test_spans_of_any_length_and_alone(text):
+    base, added = next(pd_.find(pa.array([f"x; {text}"])))
+    want = (text.find("4") if text[0] == "c" and text[1] == "a" and "4111" in text else text.find("+") if "+" in text else 0) + 3
+    assert [s for s, _, _ in added] == [want]
+    assert next(pd_.find(pa.array([f"x; {text} ’“x”"])))[1] == added
+
+
 def test_query_columns(spark, docs, empty, texts):
     extra = docs.unionByName(spark.createDataFrame([(900, "é a.b@c.de +1 (555) 555-1234 1.2.3.4", "en", "s", 1, "x", 1, 0.1)], docs.schema))
     got = {r["doc_id"]: r for r in pd_.identifiers(extra).collect() if r["doc_id"] is not None}
@@ -108,4 +116,5 @@ def test_query_columns(spark, docs, empty, texts):
 
 def test_long_runs_stay_linear():
     pd_.base_spans("a" * 300_000 + "1" * 300_000 + "1." * 100_000)
+    pd_.added_spans("a." * 200_000 + "(at) x (at) x.com " + "a dot b at " * 20_000 + "x@" * 50_000, [])
     pd_.added_spans("one " * 50_000 + "(" * 100_000 + " " * 50_000, [])

@@ -6,8 +6,8 @@ clipped so that no single word decides). Viterbi over a document's words with a
 penalty per switch labels spans; the document's language is the one whose spans hold most words, its
 score their share.
 
-Learning uses at most ``SAMPLE`` rows (per language an equal share, and ``LEAST`` at least), chosen by a hash of the id, with texts
-of up to ``SAMPLE_CHARS`` characters; every row is predicted whole.
+Every learned language is a state of every document. Learning uses at most ``sample`` rows (per language an equal share, and ``LEAST`` at least), chosen
+by a hash of the id among those with texts of up to ``chars`` characters, both parameters of :func:`train`; every row is predicted whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is everything where
 nothing could be learned; ties go to the language first by code point; repeated rows get equal predictions;
@@ -32,8 +32,9 @@ SAMPLE_CHARS = 20_000
 GRAM_BITS, WORD_BITS = 15, 17
 PENALTY = 6.0
 CLIP = 4.0
-STATES = 8
 CHUNK = 64
+#: bytes that the scores from every state to every state of all chunks may take; chunks grow with the states
+ACROSS_BYTES = 64 << 20
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -134,37 +135,43 @@ def viterbi(scores: np.ndarray, ptr: np.ndarray, penalty: float = PENALTY) -> np
     paths within all chunks. The result is that of one pass over each document.
     """
     n, states = scores.shape
+    chunk = max(CHUNK, -(-4 * n * states * states // ACROSS_BYTES))
     length = np.diff(ptr)
-    per = -(-length // CHUNK)
+    per = -(-length // chunk)
     first = np.concatenate([[0], np.cumsum(per)])
     total = int(first[-1])
     if not total:
         return np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(length)), per)
-    begin = ptr[doc] + (np.arange(total) - first[doc]) * CHUNK
-    size = np.minimum(CHUNK, ptr[doc + 1] - begin)
+    place = np.arange(total) - first[doc]
+    begin = ptr[doc] + place * chunk
+    size = np.minimum(chunk, ptr[doc + 1] - begin)
     padded = np.concatenate([scores, np.zeros((1, states), scores.dtype)])
-    at = lambda t: padded[np.where(t < size, begin + t, n)]
+    at = lambda t, c=slice(None): padded[np.where(t < size[c], begin[c] + t, n)]
     width = int(size.max())
-    across = np.where(np.eye(states, dtype=bool), np.float32(0), np.float32(-penalty))[None].repeat(total, 0)
-    for t in range(width):
+    passed = np.flatnonzero(place < per[doc] - 1)  # whole chunks that others follow
+    row = np.empty(total, np.int64)
+    row[passed] = np.arange(len(passed))
+    across = np.where(np.eye(states, dtype=bool), np.float32(0), np.float32(-penalty))[None].repeat(len(passed), 0)
+    for t in range(chunk if len(passed) else 0):
         np.maximum(across, across.max(2, keepdims=True) - np.float32(penalty), out=across)
-        across += at(t)[:, None, :]
+        across += at(t, passed)[:, None, :]
     enter = np.zeros((total, states), np.float32)
     most = int(per.max())
     for k in range(most - 1):
         docs = np.flatnonzero(per > k + 1)
         c = first[docs] + k
-        v = (enter[c][:, :, None] + across[c]).max(1)
+        v = (enter[c][:, :, None] + across[row[c]]).max(1)
         enter[c + 1] = v - v.max(1, keepdims=True)
-    back = np.empty((width, total, states), np.uint8)
+    number = np.min_scalar_type(states)
+    back = np.empty((width, total, states), number)
     v = enter
-    own = np.arange(states, dtype=np.uint8)[None]
+    own = np.arange(states, dtype=number)[None]
     for t in range(width):
         top = v.argmax(1)
         best = v[np.arange(total), top] - np.float32(penalty)
         switch = v < best[:, None]
-        back[t] = np.where(switch, top[:, None].astype(np.uint8), own)
+        back[t] = np.where(switch, top[:, None].astype(number), own)
         v = np.maximum(v, best[:, None]) + at(t)
     rows = np.arange(total)
     came = np.broadcast_to(own, (total, states)).astype(np.int64)
@@ -188,12 +195,6 @@ def labelled(model: dict[str, object], column: pa.Array) -> tuple[np.ndarray, np
     buf, offs = wb.raw(column)
     starts, ends, ptr = wb.spans(buf, offs, LETTERS)
     s = word_scores(model, buf, starts, ends)
-    if s.shape[1] > STATES:  # each document's likeliest languages are its states
-        run = np.concatenate([np.zeros((1, s.shape[1])), np.cumsum(s, 0, dtype=float)])
-        likely = np.argsort(-(run[ptr[1:]] - run[ptr[:-1]]), 1, kind="stable")[:, :STATES]
-        doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-        state = viterbi(np.take_along_axis(s, likely[doc], 1), ptr)
-        return starts, ends, ptr, likely[doc, state] if len(doc) else state, buf
     return starts, ends, ptr, viterbi(s, ptr), buf
 
 
@@ -235,9 +236,9 @@ def held_out(of: int = 3, which: int = 1) -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == which, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, object] | None:
-    """The model of rows with a language that aren't held out."""
-    rows = docs.where("lang is not null").where(~held_out()).where(F.length("text").between(1, SAMPLE_CHARS))
+def train(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> dict[str, object] | None:
+    """The model of rows with a language that aren't held out, of at most ``sample`` rows of up to ``chars`` characters."""
+    rows = docs.where("lang is not null").where(~held_out()).where(F.length("text").between(1, chars))
     keyed = rows.select("doc_id", "lang", F.xxhash64(F.lit(7), "doc_id").alias("key"))
     langs = keyed.groupBy("lang").count().count()
     each = max(LEAST, sample // max(1, langs))
@@ -257,8 +258,10 @@ def identified(docs: DataFrame, model: dict[str, object] | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size per language
     wide = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
+    limit = (1 << 20) * 16 // max(16, len(model["names"]) if model else 0)  # what a block takes grows with the languages
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in wb.blocks(batches, limit=1 << 20):
+        for block in wb.blocks(batches, limit=limit):
             lang, score = predict(shared.value, block.column(1))
             yield pa.record_batch([block.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 

@@ -56,8 +56,11 @@ _SEP = r"[\s.,()/-]{0,3}"
 _ATW, _DOTW = "|".join(_AT_WORDS), "|".join(_DOT_WORDS)
 _DOTSEP = rf"(?:\s?[(\[{{<]\s?(?:{_DOTW}|\.)\s?[)\]}}>]\s?|\s?[_*-]+(?:{_DOTW})[_*-]+\s?|\s+(?:{_DOTW})\s+|\s?\.(?=\S)|\s\.\s)"
 _ATSEP = re.compile(rf"\s?[(\[{{<]\s?(?:{_ATW}|@|a)\s?[)\]}}>]\s?|\s?[_*-]+(?:{_ATW})[_*-]+\s?|(?P<bare>\s+(?:{_ATW})\s+)|\s?@\s?", re.I)
-_LEFT = re.compile(rf"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]+(?:{_DOTSEP}[A-Za-z0-9_%+-]+)*\Z", re.I)
-_ATOM = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_ATOM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+_WTOD = "|".join(w[::-1] for w in _DOT_WORDS)
+#: the same read from right to left, up to the word before
+_DOT_BACK = re.compile(rf"(?:\s?[)\]}}>]\s?(?:{_WTOD}|\.)\s?[(\[{{<]\s?|\s?[_*-]+(?:{_WTOD})[_*-]+\s?|\s+(?:{_WTOD})\s+|\.\s?|\s\.\s)(?=[A-Za-z0-9_%+-])", re.I)
+_DOT_WITHIN = re.compile(rf"[_-]*(?:{_DOTW})[_-]+", re.I)
 _RIGHT = re.compile(rf"[A-Za-z0-9-]+(?:(?:{_DOTSEP})[A-Za-z0-9-]+)+", re.I)
 _WORDED = re.compile(rf"(?<![A-Za-z])(?:{_DOTW})(?![A-Za-z])|[(\[{{<]\s?\.\s?[)\]}}>]", re.I)
 #: after "name at host.tld" without other disguise: endings that make it an address, and words before that don't
@@ -161,19 +164,44 @@ def _said(text: str) -> str:
     return "".join(m[0] if m[0].isdigit() else str(_DIGITS[m[0].lower()]) for m in _ONE.finditer(text))
 
 
+def _local_part(plain: str, back: str, least: int, end: int) -> int:
+    """Where the local part that ends at ``end`` begins, from ``least`` on: words joined by dots, disguised or not. ``back``: the text reversed."""
+    n, found, s = len(plain), end, end
+    while True:
+        a = s
+        while a > least and plain[a - 1] in _ATOM:
+            a -= 1
+        if a == s:
+            break
+        found = a
+        m = _DOT_BACK.match(back, n - a, n - least)
+        if m is None and (within := _DOT_WITHIN.match(plain, a, s)) and within.end() < s:
+            m = _DOT_BACK.match(back, n - within.end(), n - least)
+        if m is None:
+            break
+        s = n - m.end()
+    if found == end:
+        while found > least and (plain[found - 1] in _ATOM or plain[found - 1] == "."):
+            found -= 1
+    return found
+
+
 def added_spans(text: str, known: list[Span]) -> list[Span]:
     """Disguised identifiers: spans whose source isn't a plain identifier of that kind already."""
     plain, place = transduced(text)
     found: list[tuple[int, int, int]] = []
-    done = 0
+    done, back = 0, ""
     for m in _ATSEP.finditer(plain):
         if m.start() < done:
             continue
-        left = _LEFT.search(plain, max(done, m.start() - 256), m.start()) or _ATOM.search(plain, max(done, m.start() - 256), m.start())
         right = _RIGHT.match(plain, m.end())
-        if not left or not right or not re.search(r"[A-Za-z]", right[0]):
+        if not right or not re.search(r"[A-Za-z]", right[0]):
+            continue
+        back = back or plain[::-1]
+        left = _local_part(plain, back, done, m.start())
+        if left == m.start():
             continue
-        local = left[0]
+        local = plain[left : m.start()]
         if m["bare"]:
             last = re.split(r"[^A-Za-z0-9-]", right[0])[-1].lower()
             if not _WORDED.search(right[0]) and not re.search(r"[0-9._]", local) and (last not in _HOSTS or local.lower() in _BEFORE_HOSTS):
@@ -182,7 +210,7 @@ def added_spans(text: str, known: list[Span]) -> list[Span]:
                 continue
         elif m[0].strip() == "@" and m[0] != "@" and not re.fullmatch(r"[A-Za-z]{2,}", re.split(r"[^A-Za-z0-9-]", right[0])[-1]):
             continue
-        found.append((left.start(), 0, right.end()))
+        found.append((left, 0, right.end()))
         done = right.end()
     for m in _IP_SAID.finditer(plain):
         if all(int(_said(m[k])) <= 255 for k in range(1, 5)):

@@ -6,8 +6,8 @@ overlapping pieces that hold each of its 4- and 5-grams, and counts as so many w
 windows of ``WINDOW`` words, ``STRIDE`` apart, cover every text whole; each window is read in both directions,
 pooled by attention and scored; a document's score is the calibrated score of its highest window.
 
-The network is fitted on the driver on at most ``SAMPLE`` labelled documents per class with texts of up to
-``SAMPLE_CHARS`` characters (chosen by a hash of the id, so reruns agree); scoring covers all rows.
+The network is fitted on the driver on at most ``sample`` labelled documents per class with texts of up to
+``chars`` characters, parameters of :func:`train` (chosen by a hash of the id, so reruns agree); scoring covers all rows.
 
 Defined results: a null or empty text is one window without words; a null label is no label; with no
 labels, or of one class only, every score is the smoothed share of toxic labels; repeated rows get equal scores;
@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordblocks as wb
-from .scratch import path_of
+from .scratch import dropped, path_of, written
 
 WINDOW = 32
 STRIDE = 16
 HIDDEN = 8
 SAMPLE = 1200
 SAMPLE_CHARS = 20_000
+SPARE = 3
 THRESHOLD = 0.3
 WORD_BITS, GRAM_BITS = 18, 16
 WIDTHS = {"word": 4, "four": 2, "five": 2, "gram": 2}
@@ -356,12 +357,18 @@ def held_out(of: int = 4, which: int = 2) -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == which, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """The network of the labelled rows that aren't held out; at most ``sample`` of each class are used."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> dict[str, np.ndarray]:
+    """The network of labelled rows that aren't held out: at most ``sample`` of each class, with texts of up to ``chars`` characters.
+
+    They are the first by a hash of the id; ``SPARE`` times as many are looked at, so that long texts leave the sample full.
+    """
     rows = labels.where("toxic is not null").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = rows.where("toxic = 1").orderBy(*order).limit(sample).unionByName(rows.where("toxic = 0").orderBy(*order).limit(sample))
-    found = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * sample ids
+    of = lambda df, toxic, n: df.where(F.col("toxic") == toxic).orderBy(*order).limit(n)
+    picked = of(rows, 1, SPARE * sample).unionByName(of(rows, 0, SPARE * sample))
+    near = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.length("text") <= chars).select("doc_id", "toxic", "text")  # at most 2 * SPARE * sample ids
+    near = written(near)
+    found = of(near, 1, sample).unionByName(of(near, 0, sample))
     got = sorted({(r[0], r[1], r[2]) for r in found.select("doc_id", "toxic", "text").collect()})
     share = rows.agg(F.avg("toxic")).first()[0]
     p = fit([r[2] for r in got], [r[1] for r in got])
@@ -369,6 +376,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str,
         own = sum(r[1] for r in got) / len(got)
         p["calibration"][1] += np.log(share / (1 - share)) - np.log(own / (1 - own))
     del got
+    dropped(near)
     wb.trimmed()
     return p
 
