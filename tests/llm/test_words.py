@@ -35,6 +35,20 @@ def test_hashes_tell_words_apart_and_ignore_case_and_place():
     assert (h[: ptr[1]] == h[ptr[1] :]).all()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abB文", min_size=1, max_size=90), min_size=1, max_size=20), st.lists(st.text(alphabet="abB文", min_size=1, max_size=90), min_size=1, max_size=20))
+def test_equal_words(one, two):
+    n = min(len(one), len(two))
+    parts = []
+    for own in (one[:n], two[:n]):
+        buf, offs = wb.raw(pa.array([" ".join(own)]))
+        parts += [wb.LOWER[buf], *wb.spans(buf, offs, wb.SPACED)[:2]]
+    assert wb.equal(*parts).tolist() == [lower(a) == lower(b) for a, b in zip(one, two, strict=False)]
+    for key in (0, 5):
+        h = [wb.hashes(*parts[k : k + 3], key) for k in (0, 3)]
+        assert (h[0] == h[1]).tolist() == [lower(a) == lower(b) for a, b in zip(one, two, strict=False)]
+
+
 def test_blocks_cover_all_rows():
     batch = pa.record_batch([pa.array(["a" * 10, None, "b" * 100, "", "c"])], names=["text"])
     parts = list(wb.blocks([batch, batch.slice(0, 0)], limit=20))

@@ -2,14 +2,15 @@
 
 Each document's set of three-word shingles becomes 256 registers of 16 bits, the leading-zero count
 of the smallest hash in the register's bucket and the ten bits that follow. Documents with equal
-sets are one class from there on. Bands of registers propose pairs of classes, the
-collision-corrected Jaccard estimate sorts out most, and full sets confirm the rest.
+sets are one class from there on. Bands of registers (folded to 8 bits) propose pairs of classes, the
+collision-corrected Jaccard estimate sorts out most, and full sets, compared word by word, confirm the rest. Words are hashed under a
+key drawn for each run, so texts can't be made to collide.
 
 A bucket of a band is never expanded into all its pairs. First its members are compared with the
 bucket's least class. Links found so merge most buckets into one component; where a
 bucket still has several, every class outside its largest component is compared with all classes of other
-components, in blocks spread over tasks. So every pair that shares a bucket is either
-linked through its component or compared.
+components, in cells of at most ``BLOCK`` by ``BLOCK`` classes spread over tasks; of the bands that two classes share the first alone
+passes their pair on. So every pair that shares a bucket is either linked through its component or compared.
 
 Defined results: null and empty texts have no shingles and are groups of their own; one or two
 words are one shingle; repeated rows are linked; a null id never is a group's least unless all are
@@ -20,7 +21,9 @@ null; empty tables give no rows. Only ``doc_id`` and ``text`` are read by :func:
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import wordblocks as wb
 from .components import components
-from .scratch import dropped, path_of, released, row_key, written
+from .scratch import dropped, path_of, released, row_key, unused, written
 
 SHINGLE = 3
 SIMILARITY = 85  # per cent
@@ -42,36 +45,59 @@ BANDS = REGISTERS // ROWS
 SLACK = 5.0
 #: expected share of equal registers among unrelated sets, times 2^MANTISSA
 COLLISION = 0.169919487159739
-BLOCK = 512
+BLOCK = 2048
 #: shingles that are checked against one set in one go
 CHUNK = 400_000
 
 
-def shingles(h: np.ndarray) -> np.ndarray:
-    """Sorted distinct shingle hashes of one text's word hashes."""
+def _hashed(h: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of one text's word hashes, in their order."""
     if not len(h):
         return h
     with np.errstate(over="ignore"):
         a, b, c = (np.uint64(k) for k in (0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xC2B2AE3D27D4EB4F))
         if len(h) == 1:
-            s = wb.mix(h * a + np.uint64(1))
-        elif len(h) == 2:
-            s = wb.mix(h[:1] * a + h[1:] * b + np.uint64(2))
-        else:
-            s = wb.mix(h[:-2] * a + h[1:-1] * b + h[2:] * c)
+            return wb.mix(h * a + np.uint64(1))
+        if len(h) == 2:
+            return wb.mix(h[:1] * a + h[1:] * b + np.uint64(2))
+        return wb.mix(h[:-2] * a + h[1:-1] * b + h[2:] * c)
+
+
+def shingles(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct shingle hashes of one text's word hashes."""
+    s = _hashed(h)
     s.sort()
     return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s
 
 
-def text_sets(column: pa.Array) -> Iterator[np.ndarray]:
+def text_sets(column: pa.Array, key: int = 0) -> Iterator[np.ndarray]:
     buf, offs = wb.raw(column)
     starts, ends, ptr = wb.spans(buf, offs, wb.SPACED)
-    h = wb.hashes(buf, starts, ends)
+    h = wb.hashes(buf, starts, ends, key)
     p = ptr.tolist()
     for a, b in zip(p, p[1:], strict=False):
         yield shingles(h[a:b])
 
 
+class Full(NamedTuple):
+    """A text's set with its words: sorted distinct shingle hashes, the first word of each, and the words' places in the bytes."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    low: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+def full_sets(column: pa.Array, key: int = 0) -> Iterator[Full]:
+    buf, offs = wb.raw(column)
+    starts, ends, ptr = wb.spans(buf, offs, wb.SPACED)
+    h, p, o = wb.hashes(buf, starts, ends, key), ptr.tolist(), offs.tolist()
+    for k, (a, b) in enumerate(zip(p, p[1:], strict=False)):
+        s, first = np.unique(_hashed(h[a:b]), return_index=True)
+        yield Full(s, first, wb.LOWER[buf[o[k] : o[k + 1]]], starts[a:b] - o[k], ends[a:b] - o[k])
+
+
 def registers(s: np.ndarray) -> np.ndarray:
     """HyperMinHash registers of a sorted set: 0 if the bucket is empty, else 1 + leading zeros, mantissa."""
     out = np.zeros(REGISTERS, np.uint16)
@@ -120,25 +146,34 @@ def likely_folded(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return same - used * (COLLISION / 2**MANTISSA + 1 / 255) >= used * (at - SLACK * np.sqrt(at * (1 - at) / used))
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """The definition, on full sets."""
-    if not len(a) or not len(b):
+def linked(a: Full, b: Full) -> bool:
+    """The definition, on full sets: shingles of equal hashes are compared word by word."""
+    if not len(a.hashes) or not len(b.hashes):
+        return False
+    enough = lambda both: 100 * both >= SIMILARITY * (len(a.hashes) + len(b.hashes) - both)
+    small, large = (a, b) if len(a.hashes) <= len(b.hashes) else (b, a)
+    k = np.minimum(np.searchsorted(large.hashes, small.hashes), len(large.hashes) - 1)
+    both = np.flatnonzero(large.hashes[k] == small.hashes)
+    if not enough(len(both)):
         return False
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    k = np.searchsorted(large, small)
-    both = int(np.count_nonzero(large[np.minimum(k, len(large) - 1)] == small))
-    return 100 * both >= SIMILARITY * (len(a) + len(b) - both)
+    width = min(SHINGLE, len(small.starts))
+    if width != min(SHINGLE, len(large.starts)):
+        return False
+    one = (small.first[both][:, None] + np.arange(width)).ravel()
+    two = (large.first[k[both]][:, None] + np.arange(width)).ravel()
+    same = wb.equal(small.low, small.starts[one], small.ends[one], large.low, large.starts[two], large.ends[two])
+    return enough(int(same.reshape(-1, width).all(1).sum()))
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, secret: int = 0) -> DataFrame:
     """Per document: ``doc_id``, ``n`` (set size), ``cls`` (128-bit digest of its set), ``key`` of the row, ``sig``, ``mini``."""
-    wide = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", row_key())
+    wide = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), row_key().alias("key"))
     id_type = wide.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in wb.blocks(batches, limit=1 << 21):
             n, cls, sig, mini = [], [], [], []
-            for s in text_sets(block.column(1)):
+            for s in text_sets(block.column(1), secret):
                 n.append(len(s))
                 cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 r = registers(s)
@@ -153,10 +188,10 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    width = 2 * ROWS
-    empty = F.lit(bytes(width))
-    one = lambda i: F.substring("sig", 1 + i * width, width)
-    keys = F.array(*[F.when(one(i) != empty, F.xxhash64(F.lit(i), one(i))) for i in range(BANDS)])
+    """``cls`` and ``band``, of which the six lowest bits are the band's number."""
+    empty = F.lit(bytes(ROWS))
+    one = lambda i: F.substring("mini", 1 + i * ROWS, ROWS)
+    keys = F.array(*[F.when(one(i) != empty, F.shiftleft(F.xxhash64(F.lit(i), one(i)), 6).bitwiseOR(F.lit(i))) for i in range(BANDS)])
     return classes.select("cls", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("band"))
 
 
@@ -188,7 +223,7 @@ def _likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, secret: int) -> DataFrame:
     """The pairs (a, b) whose full sets are linked. Members meet their ``a`` in chunks of about ``CHUNK`` shingles."""
     sized = pairs.join(classes.select(F.col("cls").alias("b"), "n", "key"), "b")
     load = pairs.join(classes.select(F.col("cls").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("load"))
@@ -203,11 +238,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
         a = group.column("a")[0].as_py()
         names = group.column("cls").to_pylist()
         home = names.index(a)
-        own = next(text_sets(group.column("text").slice(home, 1).combine_chunks()))
+        own = next(full_sets(group.column("text").slice(home, 1).combine_chunks(), secret))
         good, at = [], 0
         for chunk in group.column("text").chunks:
             for block in wb.blocks([pa.record_batch([chunk], names=["text"])]):
-                for s in text_sets(block.column(0)):
+                for s in full_sets(block.column(0), secret):
                     if at != home and linked(own, s):
                         good.append(names[at])
                     at += 1
@@ -217,38 +252,51 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
 
 
 def _across(bands: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs between different components of a bucket: its lesser components against all, in blocks."""
-    placed = bands.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = placed.groupBy("band").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "members")
-    placed = written(placed.join(mixed, "band"))
+    """Likely pairs between different components of a bucket: its lesser components against all, in cells; each pair once."""
+    placed = written(bands.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root")))
     per = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
-    main = per.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    full = placed.join(main, "band").join(classes.select("cls", "n", "mini"), "cls")
-    full = full.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("long")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    held = full.select("band", F.col("own").alias("block"), F.lit(False).alias("lesser"), "cls", "root", "n", "mini")
-    sent = full.where("root <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("lesser"), "cls", "root", "n", "mini")
-
-    def compare(_key: tuple[pa.Scalar, ...], g: pa.Table) -> pa.Table:
-        lesser = g.column("lesser").to_numpy()
-        names, root, n, sig = np.array(g.column("cls").to_pylist(), object), np.array(g.column("root").to_pylist(), object), g.column("n").to_numpy(), _minis(g.column("mini"))
+    mixed = per.groupBy("band").agg(F.sum("c").alias("members"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = mixed.select("band", F.col("most.root").alias("main"), F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"), F.ceil((F.col("members") - F.col("most.c")) / BLOCK).cast("long").alias("parts"))
+    full = placed.join(mixed, "band").join(classes.select("cls", "n", "mini"), "cls")
+    full = full.withColumn("minor", F.col("root") != F.col("main")).withColumn("at", F.xxhash64("cls"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ("band", "block", "part", "lesser", "minor", "cls", "root", "n", "mini")
+    held = full.withColumn("block", F.pmod("at", "blocks")).withColumn("part", each("parts")).withColumn("lesser", F.lit(False)).select(*columns)
+    sent = full.where("minor").withColumn("part", F.pmod("at", "parts")).withColumn("block", each("blocks")).withColumn("lesser", F.lit(True)).select(*columns)
+
+    def compare(key: tuple[pa.Scalar, ...], g: pa.Table) -> pa.Table:
+        band, wide = key[0].as_py() & 63, BANDS * ROWS
+        lesser, minor = g.column("lesser").to_numpy(), g.column("minor").to_numpy()
+        n, sig = g.column("n").to_numpy(), _minis(g.column("mini"))
+        names = g.column("cls").to_pylist()
+        root = g.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
         inner = np.flatnonzero(~lesser)
+        inner = inner[np.argsort(n[inner], kind="stable")]
+        sizes, origin = n[inner], root[inner]
         a, b = [], []
         for i in np.flatnonzero(lesser).tolist():
-            other = inner[(root[inner] != root[i]) & (np.minimum(n[inner], n[i]) * 100 >= np.maximum(n[inner], n[i]) * SIMILARITY)]
+            low = int(np.searchsorted(sizes * 100, n[i] * SIMILARITY))
+            high = int(np.searchsorted(sizes * SIMILARITY, n[i] * 100, "right"))
+            other = inner[low:high][origin[low:high] != root[i]]
+            if len(other):
+                other = other[likely_folded(sig[other], sig[i][None, :])]
             if len(other):
-                for j in other[likely_folded(sig[other], sig[i][None, :])].tolist():
-                    x, y = sorted((names[i], names[j]))
-                    a.append(x)
-                    b.append(y)
+                both = (sig[other, :wide] == sig[i, :wide]).reshape(-1, BANDS, ROWS).all(2) & (sig[i, :wide] != 0).reshape(BANDS, ROWS).any(1)
+                for j in other[both.argmax(1) == band].tolist():
+                    if not minor[j] or names[i] < names[j]:  # of two lesser ones one sees the pair
+                        x, y = sorted((names[i], names[j]))
+                        a.append(x)
+                        b.append(y)
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return held.unionByName(sent).groupBy("band", "block").applyInArrow(compare, "a binary, b binary").distinct()
+    return held.unionByName(sent).groupBy("band", "block", "part").applyInArrow(compare, "a binary, b binary")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, the ``key`` of its row, and its ``group`` (null without shingles)."""
     wb.small_batches(docs.sparkSession)
-    sketches = written(sketch(docs))
+    secret = secrets.randbits(64)
+    sketches = written(sketch(docs, secret))
     classes = written(
         sketches.where("n > 0").groupBy("cls").agg(
             F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "key")).alias("rep"), F.first("sig").alias("sig"), F.first("mini").alias("mini")
@@ -256,17 +304,17 @@ def groups(docs: DataFrame) -> DataFrame:
     )
     bands = _bands(classes)
     least = bands.groupBy("band").agg(F.min("cls").alias("a"), F.count("*").alias("members")).where("members > 1").drop("members")
-    star = bands.join(least, "band").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-    stars = written(_likely_pairs(star, classes))
+    shared = written(bands.join(least, "band"))
+    stars = written(_likely_pairs(shared.where("cls <> a").select("a", F.col("cls").alias("b")).distinct(), classes))
     first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(_confirmed(first, classes, docs))
+    links = written(_confirmed(first, classes, docs, secret))
     released(docs.sparkSession)
     roots = written(components(links))
     released(docs.sparkSession)
-    rest = written(_across(bands, roots, classes).join(first, ["a", "b"], "left_anti"))
+    rest = written(_across(shared.select("band", "cls"), roots, classes).join(first, ["a", "b"], "left_anti"))
     released(docs.sparkSession)
     if rest.limit(1).count():
-        more = written(_confirmed(rest, classes, docs))
+        more = written(_confirmed(rest, classes, docs, secret))
         roots = written(components(links.unionByName(more)))
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least_id", F.coalesce("root", "cls").alias("root"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -276,17 +324,25 @@ def groups(docs: DataFrame) -> DataFrame:
     result = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     result = written(result)
     released(docs.sparkSession)
-    dropped(sketches, classes, stars, links, roots, rest)
+    dropped(sketches, classes, shared, stars, links, roots, rest)
     return result
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group, its least id; repeated rows are one row."""
-    kept = groups(docs).where("kept").select(F.col("key").alias("_tw_key"), "group", "n_shingles")
-    once = kept.where("n_shingles > 0").groupBy("group").agg(F.min("_tw_key").alias("_tw_key")).select("_tw_key")
-    alone = kept.where("n_shingles = 0").select("_tw_key").distinct()
-    named = docs.withColumn("_tw_key", row_key())
-    return named.join(once.unionByName(alone), "_tw_key", "left_semi").dropDuplicates(["_tw_key"]).select(*docs.columns)
+    """``docs`` with one document of each group, its least id; repeated rows are one row.
+
+    Rows that differ in other columns than id and text only are told apart by those: the least as JSON stays. Nulls and empty texts are groups
+    of their own; columns of any name are carried; an empty table stays one.
+    """
+    kept = groups(docs).where("kept").select("key", "group", "n_shingles")
+    once = kept.where("n_shingles > 0").groupBy("group").agg(F.min("key").alias("key")).select("key")
+    alone = kept.where("n_shingles = 0").select("key").distinct()
+    key, row = unused(docs, "key"), unused(docs, "row")
+    whole = docs.select(row_key().alias(key), F.struct(*docs.columns).alias(row))
+    chosen = whole.join(once.unionByName(alone).withColumnRenamed("key", key), key, "left_semi")
+    rest = [F.col(row)[c] for c in docs.columns if c not in ("doc_id", "text")]
+    picked = chosen.groupBy(key).agg((F.min_by(row, F.to_json(F.array(*[c.cast("string") for c in rest]))) if rest else F.first(row)).alias(row))
+    return picked.select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

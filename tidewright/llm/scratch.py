@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import dropped, numbered, prefix_sums, released, shared_folder, written
 
-__all__ = ["dropped", "numbered", "path_of", "prefix_sums", "released", "row_key", "shared_folder", "written"]
+__all__ = ["dropped", "numbered", "path_of", "prefix_sums", "released", "row_key", "shared_folder", "unused", "written"]
 
 
 def path_of(sf_dir: str, table: str) -> str:
@@ -17,5 +17,15 @@ def path_of(sf_dir: str, table: str) -> str:
 
 
 def row_key() -> Column:
-    """A 128-bit digest of a document's id and text."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("text"), F.lit("")))))
+    """A 128-bit digest of a document's id and text; null and empty ones differ."""
+    doc_id = F.col("doc_id").cast("string")
+    parts = F.coalesce(F.concat(F.length(doc_id), F.lit(":"), doc_id), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that no column of ``df`` has in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name

@@ -325,7 +325,10 @@ def fit(texts: list[str], toxic: list[int], steps: int = 120, seed: int = 3) ->
                 c = 0
                 for k, width in WIDTHS.items():
                     part = (-0.5 * dx[:, c : c + width]).astype(f4)
-                    if k != "gram":
+                    if k == "gram":
+                        some = own[k] >= 0
+                        np.add.at(p["e_gram"], own[k][some], np.repeat(part / np.maximum(1, some.sum(1))[:, None], some.sum(1), 0))
+                    else:
                         np.add.at(p[f"e_{k}"], own[k], part)
                     c += width
     best = np.maximum.reduceat(_all_logits(p, feats, ptr), first[:-1])

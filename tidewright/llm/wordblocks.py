@@ -7,6 +7,7 @@ byte view agrees with the code-point view for the classes used here.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 4 << 20
-#: bytes hashed at once; the arrays stay in cache
-HASH_BYTES = 1 << 18
+#: words hashed at once; the arrays stay in cache
+HASH_WORDS = 1 << 15
 
 #: not ASCII white space
 SPACED = np.ones(256, bool)
@@ -27,19 +28,9 @@ ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_P = 0x9E3779B97F4A7C15 | 1
-_POW = np.ones(1, np.uint64)
-_INV = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> None:
-    global _POW, _INV
-    if len(_POW) < n:
-        size = max(n, 2 * len(_POW), 1 << 16)
-        with np.errstate(over="ignore"):
-            _POW, _INV = np.full(size, _P, np.uint64), np.full(size, pow(_P, -1, 1 << 64), np.uint64)
-            _POW[0] = _INV[0] = 1
-            _POW, _INV = np.cumprod(_POW, dtype=np.uint64), np.cumprod(_INV, dtype=np.uint64)
+#: words of more bytes are hashed one by one
+LONG_WORD = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -112,25 +103,55 @@ def spans(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words with A-Z lower-cased, in blocks of bounded memory."""
+def eights(low: np.ndarray) -> np.ndarray:
+    """For every byte it and the seven after it as one number (zeros past the end)."""
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    return np.ndarray((len(low) + 1,), "<u8", padded, strides=(1,))
+
+
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hashes of the words with A-Z lower-cased, eight bytes after eight mixed in.
+
+    Whoever doesn't know the ``key`` can't make words that collide.
+    """
     out = np.empty(len(starts), np.uint64)
-    at = 0
+    low = LOWER[buf]
+    eight = eights(low)
+    seed = np.uint64((key ^ 0x9E3779B97F4A7C15) & (1 << 64) - 1)
     with np.errstate(over="ignore"):
-        while at < len(starts):
-            base = int(starts[at])
-            to = max(at + 1, int(np.searchsorted(ends, base + HASH_BYTES, "right")))
-            s, e = starts[at:to] - base, ends[at:to] - base
-            n = int(e[-1])
-            _powers(n + 1)
-            c = np.zeros(n + 1, np.uint64)
-            np.cumsum((LOWER[buf[base : base + n]].astype(np.uint64) + np.uint64(1)) * _POW[:n], out=c[1:])
-            h = (c[e] - c[s]) * _INV[s]
-            out[at:to] = mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            at = to
+        for at in range(0, len(starts), HASH_WORDS):
+            s, n = starts[at : at + HASH_WORDS], ends[at : at + HASH_WORDS] - starts[at : at + HASH_WORDS]
+            h = mix(n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + seed)
+            h = mix(h ^ (eight[s] & _MASKS[np.minimum(n, 8)]))
+            live = np.flatnonzero((n > 8) & (n <= LONG_WORD))
+            done = 8
+            while len(live):
+                h[live] = mix(h[live] ^ (eight[s[live] + done] & _MASKS[np.minimum(n[live] - done, 8)]))
+                done += 8
+                live = live[n[live] > done]
+            for k in np.flatnonzero(n > LONG_WORD).tolist():
+                h[k] = int.from_bytes(hashlib.blake2b(low[s[k] : s[k] + n[k]].tobytes(), digest_size=8, key=(key & (1 << 64) - 1).to_bytes(8, "little")).digest(), "little")
+            out[at : at + HASH_WORDS] = h
     return out
 
 
+def equal(low: np.ndarray, s: np.ndarray, e: np.ndarray, low2: np.ndarray, s2: np.ndarray, e2: np.ndarray) -> np.ndarray:
+    """Which words of one lower-cased text are, byte by byte, those at the same places of another list."""
+    n = e - s
+    same = n == e2 - s2
+    one, two = eights(low), eights(low2)
+    live, done = np.flatnonzero(same & (n <= LONG_WORD)), 0
+    while len(live):
+        mask = _MASKS[np.minimum(n[live] - done, 8)]
+        differ = (one[s[live] + done] ^ two[s2[live] + done]) & mask != 0
+        same[live[differ]] = False
+        done += 8
+        live = live[~differ & (n[live] > done)]
+    for k in np.flatnonzero(same & (n > LONG_WORD)).tolist():
+        same[k] = np.array_equal(low[s[k] : e[k]], low2[s2[k] : e2[k]])
+    return same
+
+
 def words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
     """The words themselves, A-Z lower-cased."""
     low = LOWER[buf].tobytes()
