@@ -68,3 +68,48 @@ def test_an_id_of_many_vectors_crowds_nobody_out(spark):
     df = spark.createDataFrame(near + rest, "vec_id long, embedding array<double>")
     for r in nb.nearest(df, F.col("vec_id") < 10).groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"), F.min_by("vec_id", "rank").alias("first"), F.count("*").alias("rows")).collect():
         assert (r["n"], r["rows"], r["first"]) == (20, 20, 999)
+
+
+def test_copies_of_one_row_leave_all_ids(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(39, 6)))] + [(100, [3.0] * 6)] * 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = nb.nearest(df, F.col("vec_id") % 20 == 0)
+    assert {r["query_id"]: r["n"] for r in got.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).collect()} == {0: 20, 20: 20, 100: 20}
+
+
+def test_copies_of_a_vector_score_equally_anywhere(spark, monkeypatch):
+    """Ties go by id, though a matrix product gives copies other last bits by place."""
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 64))
+    x[rng.choice(700, 300, replace=False)] = 3 * x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in nb.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    copies = np.flatnonzero((x == x[np.flatnonzero((x[:, None] == x[None]).all(2).sum(1) > 1)[0]]).all(1))
+    for q, found in got.items():
+        found = sorted(found)
+        for _, v, score in found:
+            total = 0.0
+            for a, b in zip(x[q], x[v], strict=True):
+                total += a * b
+            assert score == total
+        tied = [v for _, v, _ in found if v in copies]
+        if len(tied) > 5:
+            assert tied == [v for v in copies.tolist() if v != q][: len(tied)]
+
+
+def test_recall_of_the_query(spark):
+    """Against brute force on the whole table, for ids divisible by 20."""
+    sf = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    table = table[[v is not None and len(v) == 64 and np.isfinite(v).all() and np.any(v) for v in table["embedding"]]]
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"].to_numpy()).astype(float)
+    got = {}
+    for r in nb.op6_projection_forest(spark, sf).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = np.flatnonzero(ids % 20 == 0)
+    assert set(got) == set(ids[asked].tolist()) and all(len(v) == 20 for v in got.values())
+    assert np.mean([len(got[int(ids[q])] & set(exact(x, ids, q, 20).tolist())) / 20 for q in asked]) >= 0.9
