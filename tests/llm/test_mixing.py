@@ -27,7 +27,8 @@ def test_taken_words(spark, docs, empty):
         t[0] += r["taken"]
         t[2] += r["size"]
     for taken, target, size, source_size in per.values():
-        assert abs(taken - target) <= 1 and target <= 3 * size and size == source_size
+        assert abs(taken - target) <= len(per) and target <= 3 * size and size == source_size
+    assert sum(t[0] for t in per.values()) == sum(t[3] for t in per.values())  # the whole budget
     again = sorted(map(str, mixed(docs.repartition(5)).select("doc_id", "size", "taken").collect()))
     assert again == sorted(str(r) for r in mixed(docs).select("doc_id", "size", "taken").collect())
     assert mixed(empty).count() == 0
@@ -43,11 +44,27 @@ def test_oracle(spark, sf_dir):
 def test_queue_interleaves_sources_by_weight(spark):
     rows = [(i, "a" if i < 400 else "b", 10) for i in range(800)]
     queue = mixing.fair_queue(spark.createDataFrame(rows, "doc_id long, source string, size long"))
-    half = queue.where("finish <= 0.5").groupBy("source").sum("words").collect()
+    half = queue.where("finish <= 0.5").groupBy("source").agg(F.sum("words")).collect()
     got = {r[0]: r[1] for r in half}
     assert got["a"] / got["b"] == pytest.approx(2.5, rel=0.05)
 
 
+def test_queue_is_cut_at_the_budget(spark):
+    rows = [(i, f"s{i % 5}", 1 + i * 7 % 90) for i in range(600)] + [(1000, "s1", 9000), (1001, "s4", 20_000)]
+    queue = mixing.fair_queue(spark.createDataFrame(rows, "doc_id long, source string, size long")).where("finish is not null").orderBy("position").collect()
+    assert [r["finish"] for r in queue] == sorted(r["finish"] for r in queue)
+    assert sum(r["words"] for r in queue) == sum(r[2] for r in rows)
+    last = max(k for k, r in enumerate(queue) if r["words"])
+    assert last < len(queue) - 1 and all(r["words"] > 0 for r in queue[: last + 1]) and queue[last]["finish"] == pytest.approx(1, abs=1e-2)
+
+
+def test_columns_of_any_name(spark):
+    schema = "doc_id long, text string, source string, _tw_row string, _tw_times int, row int, times int, `words` int"
+    given = [(i, "a b c " * (1 + i), f"s{i % 3}", "r", 1, 2, 3, 4) for i in range(30)]
+    out = mixing.mixed_documents(spark.createDataFrame(given, schema))
+    assert out.columns == ["doc_id", "text", "source", "_tw_row", "_tw_times", "row", "times", "words"] and {tuple(r) for r in out.collect()} <= set(given)
+
+
 def test_whole_documents(docs):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
