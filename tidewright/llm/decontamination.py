@@ -1,21 +1,26 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The corpus is cut into shards of bounded bytes. Per shard, every token's postings (document number
-and position, delta-coded) are stored as one index row, so the index is partitioned by document and no posting
-list ever has to be shuffled or held whole, however common its token. A phrase is looked up in a
-shard by intersecting the offset-adjusted lists of its tokens from the corpus-rarest on; proximity
-matches are windows of bounded width that hold all tokens.
+The corpus is cut into shards of bounded bytes. A shard is one row of the index: all its tokens (as 64-bit hashes
+under a key drawn for the index) in order, for each its postings (word numbers in the shard, delta-coded) and in how many documents it is,
+and the shard's documents. So the index is partitioned by document and no posting list ever has to be
+shuffled or held whole, however common its token. A phrase is looked up in a shard by intersecting the
+offset-adjusted lists of its tokens from the corpus-rarest on; a proximity match is a run of words within one document, of bounded length and beginning with one of the
+phrase's tokens, that holds all of them in any order.
+
+The test items are read in blocks of about ``ITEM_BYTES`` bytes of text, which bounds what the driver and a task hold of them.
 
 Defined results: a null or empty text has no words; an item without words is skipped; an item without id hits words but isn't listed; an item with
-fewer words than the window is one window; repeated items and rows count on their own; empty tables
-give no hits; columns other than those named are ignored (:func:`contamination`) or carried
-(:func:`clean`), where columns named like the added ones are replaced.
+fewer words than the window is one window; repeated items count once, repeated rows on their own; empty tables
+give no hits; documents and items of any length are read whole; columns other than those named are ignored (:func:`contamination`) or carried
+(:func:`clean`), whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordblocks as wb
-from .scratch import path_of, row_key, written
+from .scratch import path_of, row_key, unused, written
 
 WINDOW = 10
+#: a window's words in any order within so many words of a document are a proximity match
+PROXIMITY = 20
 SHARD_BYTES = 4 << 20
-#: items are searched in blocks of so many, so that what a task holds of them is bounded
-ITEM_BLOCK = 20_000
-SCHEMA_INDEX = "shard long, term string, postings binary, df long"
+ITEM_BYTES = 4 << 20
 
 
 def varint(values: np.ndarray) -> bytes:
@@ -79,56 +84,108 @@ def tokens(text: str | None) -> list[str]:
     return wb.words(buf, s, e)
 
 
-def item_windows(items: Iterable[tuple[object, str | None]], window: int = WINDOW) -> tuple[list[tuple[str, ...]], list[list[object]]]:
-    """Distinct windows of the items' words, and for each the items that have it."""
-    owners: dict[tuple[str, ...], list[object]] = {}
-    for item, text in items:
-        w = tokens(text)
-        for k in range(max(1, len(w) - window + 1) if w else 0):
-            own = owners.setdefault(tuple(w[k : k + window]), [])
-            if not own or own[-1] != item:
-                own.append(item)
-    return list(owners), list(owners.values())
-
-
-def _postings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc_of: np.ndarray, wanted: np.ndarray | None) -> tuple[list[str], list[bytes], np.ndarray]:
-    """Each token of a block, its encoded word numbers, and in how many documents it is; ``wanted``: sorted hashes to keep, or all."""
-    h = wb.hashes(buf, starts, ends)
-    at = np.arange(len(h))
-    if wanted is not None:
-        keep = np.zeros(len(h), bool) if not len(wanted) else wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-        h, at = h[keep], at[keep]
+class Plan(NamedTuple):
+    """Distinct windows of a block of items: their tokens as numbers of ``terms`` (sorted hashes), -1 past a short window's end."""
+
+    terms: np.ndarray
+    tokens: np.ndarray
+    offsets: np.ndarray  # of the same tokens
+    lengths: np.ndarray
+    owner: np.ndarray  # per window and item that has it: the item's number,
+    window: np.ndarray  # and the window's
+    items: list[str | None]
+
+
+def windows_of(items: list[tuple[str | None, str | None]], window: int, key: int) -> Plan:
+    """The windows of items, their tokens in the items' order."""
+    buf, offs = wb.raw(pa.array([t or "" for _, t in items], pa.string()))
+    starts, ends, ptr = wb.spans(buf, offs, wb.ALNUM)
+    terms, number = np.unique(wb.hashes(buf, starts, ends, key), return_inverse=True)
+    n = np.diff(ptr)
+    count = np.where(n > 0, np.maximum(1, n - window + 1), 0)
+    owner = np.repeat(np.arange(len(n)), count)
+    begin = ptr[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    length = np.minimum(n[owner], window)
+    at = begin[:, None] + np.arange(window)
+    tokens = np.where(np.arange(window) < length[:, None], np.append(number, -1)[np.minimum(at, len(number))], -1).astype(np.int32)
+    if not len(tokens):
+        return Plan(terms, tokens, tokens, length, owner, owner, [i for i, _ in items])
+    whole, first, same = np.unique(np.ascontiguousarray(tokens).view(f"V{4 * window}").ravel(), return_index=True, return_inverse=True)
+    offsets = np.broadcast_to(np.arange(window, dtype=np.int32), tokens.shape)
+    return Plan(terms, tokens[first], offsets[first], length[first], owner, same.ravel(), [i for i, _ in items])
+
+
+def ordered(plan: Plan, rarity: np.ndarray) -> Plan:
+    """The windows whose tokens all occur, their tokens from the rarest on."""
+    known = np.append(rarity, 1)[plan.tokens]  # the last is for -1
+    can = (known > 0).all(1)
+    order = np.argsort(np.where(plan.tokens < 0, np.iinfo(np.int64).max, known), 1, kind="stable")
+    new = np.where(can, np.cumsum(can) - 1, -1)
+    pairs = new[plan.window] >= 0
+    take = lambda m: np.take_along_axis(m, order, 1)[can]
+    return Plan(plan.terms, take(plan.tokens), take(plan.offsets), plan.lengths[can], plan.owner[pairs], new[plan.window][pairs], plan.items)
+
+
+class Index(NamedTuple):
+    """``rows``: the index, a row per shard; ``key``: what its tokens are hashed under."""
+
+    rows: DataFrame
+    key: int
+
+    def documents(self) -> DataFrame:
+        """``shard``, ``doc`` (position in the shard), ``doc_id`` and ``n_words`` of all documents."""
+        zipped = F.posexplode(F.arrays_zip("doc_ids", "n_words"))
+        return self.rows.select("shard", zipped.alias("doc", "d")).select("shard", "doc", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").cast("long").alias("n_words"))
+
+    def rarity(self, terms: np.ndarray) -> np.ndarray:
+        """In how many documents each of the tokens is."""
+        shared = self.rows.sparkSession.sparkContext.broadcast(terms)  # of one block of items
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(shared.value), np.int64)
+            for b in batches:
+                for have, df in zip(b.column(0), b.column(1), strict=True):
+                    at = _find(np.frombuffer(have.as_buffer(), "<u8"), shared.value)
+                    total[at >= 0] += np.frombuffer(df.as_buffer(), "<u4")[at[at >= 0]]
+            some = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["term", "df"])
+
+        out = np.zeros(len(terms), np.int64)
+        for term, df in self.rows.select("terms", "df").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df")).collect():  # at most those terms
+            out[term] = df
+        return out
+
+
+def _find(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the sorted numbers hold the wanted ones, -1: nowhere."""
+    if not len(sorted_):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+    return np.where(sorted_[at] == wanted, at, -1)
+
+
+def _postings(h: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """The distinct tokens of a shard in order, in how many documents each is, where its postings end, and all postings."""
     if not len(h):
-        return [], [], np.zeros(0, np.int64)
-    order = np.argsort(h, kind="stable")
-    h, at = h[order], at[order]
+        return h, np.zeros(0, np.int64), np.zeros(0, np.int64), b""
+    at = np.argsort(h, kind="stable")
+    h = h[at]
     opens = np.concatenate([[True], h[1:] != h[:-1]])
     cut = np.flatnonzero(opens)
-    gaps = np.where(opens, at, np.diff(at, prepend=0))
-    data, width = _encoded(gaps)
-    edge = np.concatenate([[0], np.cumsum(np.add.reduceat(width, cut))]).tolist()
+    data, width = _encoded(np.where(opens, at, np.diff(at, prepend=0)))
     own = doc_of[at]
     df = np.add.reduceat((opens | (np.diff(own, prepend=-1) != 0)).astype(np.int64), cut)
-    low, first = wb.LOWER[buf], at[cut]
-    terms = [low[s:e].tobytes().decode("utf-8") for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    return terms, [data[x:y] for x, y in zip(edge, edge[1:], strict=False)], df
+    return h[cut], df, np.cumsum(np.add.reduceat(width, cut)), data
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", shard_bytes: int = SHARD_BYTES, vocabulary: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The positional index and its document table, both written to the shared folder.
+def build_index(docs: DataFrame, id_col: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> Index:
+    """The positional index of all tokens of ``docs``, written to the shared folder.
 
-    Index rows: ``shard``, ``term``, ``postings`` (varint gaps of the sorted word numbers within
-    the shard) and ``df`` (documents of the shard with the term). Document rows: ``shard``, ``doc``
-    (position in the shard), the id, ``first_word`` and ``n_words``. With ``vocabulary`` only those terms are
-    stored, which suffices for any query made of them.
+    Rows: ``shard``; ``terms``, ``df`` and ``edges`` (binary arrays: sorted token hashes, documents of the shard that have the token, ends of its
+    postings); ``postings`` (varint gaps of the sorted word numbers); ``doc_ids`` and ``n_words``, the shard's documents.
     """
     wb.small_batches(docs.sparkSession)
-    wanted = None
-    if vocabulary is not None:
-        joined = " ".join(vocabulary).encode("utf-8")
-        vb = np.frombuffer(joined, np.uint8)
-        vs, ve, _ = wb.spans(vb, np.array([0, len(vb)]), wb.ALNUM)
-        wanted = np.unique(wb.hashes(vb, vs, ve))
+    key = secrets.randbits(64)
     wide = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     id_type = wide.schema["doc_id"].dataType.simpleString()
 
@@ -139,25 +196,17 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", shard_bytes: int = SHAR
         for block in wb.blocks(batches, limit=shard_bytes):
             buf, offs = wb.raw(block.column(1))
             starts, ends, ptr = wb.spans(buf, offs, wb.ALNUM)
-            doc_of = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-            terms, posts, df = _postings(buf, starts, ends, doc_of, wanted)
-            n, d, none = len(terms), block.num_rows, pa.nulls
+            n = np.diff(ptr)
+            terms, df, edges, data = _postings(wb.hashes(buf, starts, ends, key), np.repeat(np.arange(len(n)), n))
+            one = lambda values, kind: pa.array([values.astype(kind).tobytes()], pa.binary())
+            per = pa.array([0, len(n)], pa.int32())
             yield pa.record_batch(
-                [
-                    pa.array(np.full(n + d, serial)), pa.array(terms + [None] * d, pa.string()), pa.array(posts + [None] * d, pa.binary()),
-                    pa.concat_arrays([pa.array(df, pa.int64()), none(d, pa.int64())]), pa.concat_arrays([none(n, pa.int32()), pa.array(np.arange(d, dtype=np.int32))]),
-                    pa.concat_arrays([none(n, block.column(0).type), block.column(0)]),
-                    pa.concat_arrays([none(n, pa.int64()), pa.array(ptr[:-1])]), pa.concat_arrays([none(n, pa.int64()), pa.array(np.diff(ptr))]),
-                ],
-                names=["shard", "term", "postings", "df", "doc", "doc_id", "first_word", "n_words"],
+                [pa.array([serial]), one(terms, "<u8"), one(df, "<u4"), one(edges, "<u4"), pa.array([data], pa.binary()), pa.ListArray.from_arrays(per, block.column(0)), pa.ListArray.from_arrays(per, pa.array(n.astype(np.int32)))],
+                names=["shard", "terms", "df", "edges", "postings", "doc_ids", "n_words"],
             )
             serial += 1
 
-    both = written(wide.mapInArrow(run, f"{SCHEMA_INDEX}, doc int, doc_id {id_type}, first_word long, n_words long"))
-    index = both.where("term is not null").select("shard", "term", "postings", "df")
-    table = both.where("term is null").select("shard", "doc", "doc_id", "first_word", "n_words")
-    index._tw_path = both._tw_path
-    return index, table
+    return Index(written(wide.mapInArrow(run, f"shard long, terms binary, df binary, edges binary, postings binary, doc_ids array<{id_type}>, n_words array<int>")), key)
 
 
 def intersect(lists: list[tuple[int, np.ndarray]]) -> np.ndarray:
@@ -174,151 +223,163 @@ def intersect(lists: list[tuple[int, np.ndarray]]) -> np.ndarray:
 
 
 def near(lists: list[np.ndarray], width: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Proximity: positions of the rarest list's token with every other token within ``width`` words in its document.
+    """Proximity: the tokens' places from which ``width`` words of the same document hold a token of every list; the rarest list first.
 
     Documents hold ``count`` words from ``first`` on, in order.
     """
-    lists = sorted(lists, key=len)
-    found = lists[0]
+    a = lists[0]
+    d = np.searchsorted(first, a, "right") - 1
+    low, high = np.maximum(first[d], a - width + 1), np.minimum(first[d] + count[d], a + width)
     for p in lists[1:]:
-        if not len(found) or not len(p):
-            return found[:0]
-        d = np.searchsorted(first, found, "right") - 1
-        low, high = np.maximum(first[d], found - width), np.minimum(first[d] + count[d] - 1, found + width)
-        found = found[np.searchsorted(p, high, "right") > np.searchsorted(p, low)]
-    return found
-
-
-def _plan(phrases: list[tuple[str, ...]], rarity: dict[str, int]) -> list[tuple[int, int, list[tuple[int, int, str]]]]:
-    """Per phrase that can occur: its number, length, and (rarity, offset, word) from the rarest on."""
-    return [(k, len(words), sorted((rarity[w], o, w) for o, w in enumerate(words))) for k, words in enumerate(phrases) if all(w in rarity for w in words)]
-
-
-def _matches(rows: pa.Table, plan: list, proximity: int | None) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    """One shard's document rows, and per match the document's row, the phrase and the first word."""
-    posts = {t: b for t, b in zip(rows.column("term").to_pylist(), rows.column("postings").to_pylist(), strict=True) if t is not None}
-    part = rows.filter(pa.compute.is_valid(rows.column("doc")))
-    first, count = part.column("first_word").to_numpy(), part.column("n_words").to_numpy()
-    order = np.argsort(first, kind="stable")
-    order = order[count[order] > 0]
-    first, count = first[order], count[order]
-    open_: dict[str, np.ndarray] = {}
-
-    def positions(t: str) -> np.ndarray:
-        if t not in open_:
-            open_[t] = np.cumsum(unvarint(posts[t]))
-        return open_[t]
-
-    docs, which, begin = [], [], []
-    for k, n, words in plan:
-        if not all(w in posts for _, _, w in words):
-            continue
-        if proximity is None:
-            at = positions(words[0][2]) - words[0][1]
-            for _, o, w in words[1:]:
-                if not len(at):
-                    break
-                at = intersect([(0, at), (o, positions(w))])
-            span = n
-        else:
-            at, span = near([positions(w) for w in dict.fromkeys(w for *_, w in words)], proximity, first, count), 1
+        some = np.searchsorted(p, high) > np.searchsorted(p, low)
+        a, d, low, high = a[some], d[some], low[some], high[some]
+        if not len(a):
+            return a
+    starts, ends = [], []
+    for p in lists:
+        x, y = np.searchsorted(p, low), np.searchsorted(p, a, "right")
+        anchor = np.repeat(np.arange(len(a)), y - x)
+        starts.append(p[x[anchor] + np.arange(len(anchor)) - np.repeat(np.cumsum(y - x) - (y - x), y - x)])
+        ends.append(np.minimum(starts[-1] + width, (first[d] + count[d])[anchor]))
+    s, at = np.unique(np.concatenate(starts), return_index=True)
+    e = np.concatenate(ends)[at]
+    for p in lists:
+        some = np.searchsorted(p, e) > np.searchsorted(p, s)
+        s, e = s[some], e[some]
+    return s
+
+
+def _matches(row: dict[str, pa.Scalar], plan: Plan, width: int | None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]], list[tuple[int, np.ndarray]]]:
+    """One shard's first words and counts by document, and per window with matches its number and their first words: exact, and near if ``width``."""
+    count = row["n_words"].values.to_numpy().astype(np.int64)
+    first = np.cumsum(count) - count
+    edges = np.concatenate([[0], np.frombuffer(row["edges"].as_buffer(), "<u4")]).astype(np.int64)
+    data = row["postings"].as_buffer()
+    place = np.append(_find(np.frombuffer(row["terms"].as_buffer(), "<u8"), plan.terms), 0)  # the last is for -1
+    open_: dict[int, np.ndarray] = {}
+
+    def positions(token: int) -> np.ndarray:
+        if token not in open_:
+            k = place[token]
+            open_[token] = np.cumsum(unvarint(data[edges[k] : edges[k + 1]]))
+        return open_[token]
+
+    exact, close = [], []
+    for w in np.flatnonzero((place[plan.tokens] >= 0).all(1)).tolist():
+        n = int(plan.lengths[w])
+        tokens, offsets = plan.tokens[w, :n].tolist(), plan.offsets[w, :n].tolist()
+        at = positions(tokens[0]) - offsets[0]
+        for token, o in zip(tokens[1:], offsets[1:], strict=True):
+            if not len(at):
+                break
+            at = intersect([(0, at), (o, positions(token))])
         if len(at):
             d = np.searchsorted(first, at, "right") - 1
-            inside = (d >= 0) & (at + span <= first[d] + count[d])
-            at, d = at[inside], d[inside]
-            docs.append(order[d])
-            begin.append(at - first[d])
-            which.append(np.full(len(at), k))
-    return part, *(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (docs, which, begin))
+            at = at[(at >= 0) & (at + n <= first[d] + count[d])]
+            if len(at):
+                exact.append((w, at))
+        if width:
+            at = near([positions(t) for t in dict.fromkeys(tokens)], width, first, count)
+            if len(at):
+                close.append((w, at))
+    return first, count, exact, close
 
 
-def _by_shard(index: DataFrame, table: DataFrame, plan: list) -> DataFrame:
-    """Postings of the plan's words and document rows, to be grouped by shard."""
-    id_type = table.schema["doc_id"].dataType.simpleString()
-    terms = index.sparkSession.createDataFrame([(w,) for w in sorted({w for _, _, words in plan for *_, w in words})], "term string")
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    posts = index.join(terms, "term", "left_semi").select("shard", "term", "postings", none("int", "doc"), none(id_type, "doc_id"), none("long", "first_word"), none("long", "n_words"))
-    return posts.unionByName(table.select("shard", none("string", "term"), none("binary", "postings"), "doc", "doc_id", "first_word", "n_words"))
+def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Scalar]]:
+    for i in range(batch.num_rows):
+        yield {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
 
 
-def search(index: DataFrame, table: DataFrame, phrases: list[tuple[str, ...]], rarity: dict[str, int], proximity: int | None = None) -> DataFrame:
+def search(index: Index, phrases: list[str], proximity: int | None = None) -> DataFrame:
     """Matches of the phrases: ``doc_id``, ``phrase`` (its number), ``start`` (word of the document).
 
-    Exact phrases, or with ``proximity`` every place of a phrase's rarest token that has all its
-    other tokens within that many words.
+    Exact phrases, or with ``proximity`` every place of one of a phrase's tokens from which so many words of the document hold all.
+    Phrases without words match nothing.
     """
-    plan = _plan(phrases, rarity)
-    shared = index.sparkSession.sparkContext.broadcast(plan)  # at most ITEM_BLOCK items' windows
-
-    def run(_key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        part, docs, which, begin = _matches(rows, shared.value, proximity)
-        return pa.table([part.column("doc_id").combine_chunks().take(pa.array(docs)), pa.array(which), pa.array(begin)], names=["doc_id", "phrase", "start"])
-
-    return _by_shard(index, table, plan).groupBy("shard").applyInArrow(run, f"doc_id {table.schema['doc_id'].dataType.simpleString()}, phrase long, start long")
-
-
-def _covered(index: DataFrame, table: DataFrame, phrases: list[tuple[str, ...]], owners: list[list[object]], rarity: dict[str, int]) -> DataFrame:
-    """Per document with matches (``shard``, ``doc``): its covered words and the items' ids."""
-    plan = _plan(phrases, rarity)
-    shared = index.sparkSession.sparkContext.broadcast((plan, [len(p) for p in phrases], owners))  # one block of items
+    longest = max([1, *(len(tokens(p)) for p in phrases)])
+    plan = windows_of(list(zip(map(str, range(len(phrases))), phrases, strict=True)), longest, index.key)
+    shared = index.rows.sparkSession.sparkContext.broadcast(ordered(plan, index.rarity(plan.terms)))  # the phrases given
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        plan, lengths, own = shared.value
-        part, docs, which, begin = _matches(rows, plan, None)
-        hits: dict[int, tuple[set[int], set[str]]] = {}
-        for d, k, a in zip(docs.tolist(), which.tolist(), begin.tolist(), strict=True):
-            words, items = hits.setdefault(d, (set(), set()))
-            words.update(range(a, a + lengths[k]))
-            items.update(str(o) for o in own[k] if o is not None)
-        doc = part.column("doc").combine_chunks().take(pa.array(list(hits), pa.int64()))
-        return pa.table(
-            [pa.array([key[0].as_py()] * len(hits), pa.int64()), doc, pa.array([sorted(w) for w, _ in hits.values()], pa.list_(pa.int64())), pa.array([sorted(i) for _, i in hits.values()], pa.list_(pa.string()))],
-            names=["shard", "doc", "words", "item_ids"],
-        )
-
-    return _by_shard(index, table, plan).groupBy("shard").applyInArrow(run, "shard long, doc int, words array<long>, item_ids array<string>")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Per document: ``n_words``, ``n_hit``, ``item_ids`` (strings, sorted) of items with occurring windows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = shared.value
+        for b in batches:
+            for row in _rows(b):
+                first, _, exact, close = _matches(row, plan, proximity)
+                for w, at in exact if proximity is None else close:
+                    d = np.searchsorted(first, at, "right") - 1
+                    for owner in plan.owner[plan.window == w].tolist():
+                        yield pa.record_batch([row["doc_ids"].values.take(pa.array(d)), pa.array(np.full(len(at), owner)), pa.array(at - first[d])], names=["doc_id", "phrase", "start"])
+
+    id_type = index.rows.schema["doc_ids"].dataType.elementType.simpleString()
+    return index.rows.mapInArrow(run, f"doc_id {id_type}, phrase long, start long")
+
+
+def _hits(index: Index, items: list[tuple[str | None, str | None]], window: int, proximity: int) -> DataFrame:
+    """Per document with matches (``shard``, ``doc``): its covered words, the items' ids, and those of proximity matches."""
+    plan = windows_of(items, window, index.key)
+    plan = ordered(plan, index.rarity(plan.terms))
+    order = np.argsort(plan.window, kind="stable")
+    cut = np.searchsorted(plan.window[order], np.arange(len(plan.lengths) + 1))
+    shared = index.rows.sparkSession.sparkContext.broadcast((plan, [np.unique(plan.owner[order[a:b]]).tolist() for a, b in zip(cut, cut[1:], strict=False)]))  # one block of items
 
-    The benchmark is read in blocks of ``ITEM_BLOCK`` items; what the driver and a task hold of it is bounded by that.
-    """
-    count = benchmark.count()
-    parts = -(-count // ITEM_BLOCK)
-    all_items = benchmark.select("item_id", "text")
-    words = set()
-    for k in range(parts):
-        for _, text in _block(all_items, k, parts):
-            words.update(tokens(text))
-    index, table = build_index(docs, shard_bytes=shard_bytes, vocabulary=sorted(words))
-    rarity = {r[0]: r[1] for r in index.groupBy("term").agg(F.sum("df")).toLocalIterator()}  # at most the benchmark's words
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, owners = shared.value
+        for b in batches:
+            for row in _rows(b):
+                first, _, exact, close = _matches(row, plan, proximity)
+                hits: dict[int, tuple[set[int], set[str], set[str]]] = {}
+                for w, at in exact:
+                    d = np.searchsorted(first, at, "right") - 1
+                    for k, a in zip(d.tolist(), (at - first[d]).tolist(), strict=True):
+                        words, own, _ = hits.setdefault(k, (set(), set(), set()))
+                        words.update(range(a, a + int(plan.lengths[w])))
+                        own.update(plan.items[o] for o in owners[w] if plan.items[o] is not None)
+                for w, at in close:
+                    for k in set((np.searchsorted(first, at, "right") - 1).tolist()):
+                        hits.setdefault(k, (set(), set(), set()))[2].update(plan.items[o] for o in owners[w] if plan.items[o] is not None)
+                strings = pa.list_(pa.string())
+                yield pa.record_batch(
+                    [
+                        pa.array([row["shard"].as_py()] * len(hits), pa.int64()), pa.array(list(hits), pa.int32()), pa.array([sorted(w) for w, _, _ in hits.values()], pa.list_(pa.int64())),
+                        pa.array([sorted(i) for _, i, _ in hits.values()], strings), pa.array([sorted(i) for _, _, i in hits.values()], strings),
+                    ],
+                    names=["shard", "doc", "words", "item_ids", "near_ids"],
+                )
+
+    return index.rows.mapInArrow(run, "shard long, doc int, words array<long>, item_ids array<string>, near_ids array<string>")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, proximity: int = PROXIMITY) -> DataFrame:
+    """Per document: ``n_words``, ``n_hit``, ``item_ids`` (strings, sorted) of items with occurring windows, ``near_ids`` of those with proximity matches."""
+    index = build_index(docs, shard_bytes=shard_bytes)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    parts = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ITEM_BYTES)
+    table = index.documents()
+    none = F.array().cast("array<string>")
     hits = None
     for k in range(parts):
-        phrases, owners = item_windows(_block(all_items, k, parts), window)
-        spread = _covered(index, table, phrases, owners, rarity)
+        spread = _hits(index, _block(items, k, parts), window, proximity)
         hits = spread if hits is None else hits.unionByName(spread)
     if hits is None:
-        return table.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"))
+        return table.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("item_ids"), none.alias("near_ids"))
     if parts > 1:
-        hits = hits.groupBy("shard", "doc").agg(F.flatten(F.collect_list("words")).alias("words"), F.flatten(F.collect_list("item_ids")).alias("item_ids"))  # of one document
+        hits = hits.groupBy("shard", "doc").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("words", "item_ids", "near_ids")])  # of one document
     joined = table.join(hits, ["shard", "doc"], "left")
-    return joined.select(
-        "doc_id", "n_words", F.coalesce(F.size(F.array_distinct("words")), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.array_sort(F.array_distinct("item_ids")), F.array().cast("array<string>")).alias("item_ids"),
-    )
+    ids = lambda c: F.coalesce(F.array_sort(F.array_distinct(c)), none).alias(c)
+    return joined.select("doc_id", "n_words", F.coalesce(F.size(F.array_distinct("words")), F.lit(0)).cast("long").alias("n_hit"), ids("item_ids"), ids("near_ids"))
 
 
-def _block(items: DataFrame, k: int, parts: int) -> list[tuple[object, str | None]]:
+def _block(items: DataFrame, k: int, parts: int) -> list[tuple[str | None, str | None]]:
     part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-    return sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0], r[1] or ""))
+    return sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1] or ""))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents that hold a window of the benchmark."""
-    numbered = docs.withColumn("_tw_row", row_key())
-    found = contamination(numbered.select(F.col("_tw_row").alias("doc_id"), "text"), benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_tw_row")).distinct()
-    return numbered.join(found, "_tw_row", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that hold a window of the benchmark; nulls and empty texts stay, as do columns of any name."""
+    row = unused(docs, "row")
+    numbered = docs.withColumn(row, row_key())
+    found = contamination(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark, window, proximity=0).where("n_hit > 0").select(F.col("doc_id").alias(row)).distinct()
+    return numbered.join(found, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,24 +387,32 @@ def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(docs, spark.read.parquet(path_of(sf_dir, "benchmark")))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_ids").cast("long").alias("n_near"),
     )
 
 
-def brute_force(docs: Iterable[tuple[object, str | None]], items: Iterable[tuple[object, str | None]], window: int = WINDOW) -> list[tuple[object, int, int, int, str, bool]]:
+def brute_force(docs: Iterable[tuple[object, str | None]], items: Iterable[tuple[object, str | None]], window: int = WINDOW, proximity: int = PROXIMITY) -> list[tuple[object, int, int, int, str, bool, int]]:
     """The same by scanning every window of every document, for tests."""
-    phrases, owners = item_windows(items, window)
-    known = dict(zip(phrases, owners, strict=True))
-    sizes = {len(p) for p in phrases}
+    known: dict[tuple[str, ...], set[object]] = {}
+    for item, text in items:
+        w = tokens(text)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            known.setdefault(tuple(w[k : k + window]), set()).add(item)
+    sizes = {len(p) for p in known}
     out = []
     for doc, text in docs:
         w = tokens(text)
-        hit, found = set(), set()
+        hit, found, close = set(), set(), set()
         for n in sizes:
             for k in range(len(w) - n + 1):
                 if (own := known.get(tuple(w[k : k + n]))) is not None:
                     hit.update(range(k, k + n))
                     found.update(str(o) for o in own if o is not None)
+        have = set(w)
+        for phrase, own in known.items():
+            need = set(phrase)
+            if need <= have and any(w[k] in need and need <= set(w[k : k + proximity]) for k in range(len(w))):
+                close.update(str(o) for o in own if o is not None)
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-        out.append((doc, len(w), len(hit), len(found), digest, bool(hit)))
+        out.append((doc, len(w), len(hit), len(found), digest, bool(hit), len(close)))
     return out
