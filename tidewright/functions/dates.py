@@ -32,6 +32,11 @@ def within_range(day: Column) -> Column:
 def parse_start(start: Column | str) -> Column:
     """A date out of text: the part before a space or ``T``, a spreadsheet serial or one of the formats, in range."""
     token = F.regexp_extract(trim_ws(F.coalesce(as_column(start), F.lit(""))), r"^[^ T]*", 0)
+    # a lambda's variable holds the token, which would be cut out again for every format
+    return F.get(F.transform(F.array(token), _parsed), F.lit(0))
+
+
+def _parsed(token: Column) -> Column:
     serial = F.when(token.rlike(r"^[+-]?[0-9]+$"), token.try_cast("int"))
     counted = F.when((serial > 0) & (serial < LAST_SERIAL), F.date_add(F.lit("1899-12-30").cast("date"), serial))
     tried = [F.when(token.rlike(guard), F.call_function("try_to_date", token, F.lit(form))) for guard, form in FORMATS]

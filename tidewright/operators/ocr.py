@@ -1,4 +1,4 @@
-"""Text and page data out of a document layout, as array expressions.
+"""Text and page data out of a document layout, as array expressions; masking goes through Arrow, once over each text.
 
 A layout has ``pages`` (page_number, width, height, unit, words, lines), ``paragraphs`` (content,
 bounding_regions) and ``tables`` (cells of row, col, content); see ``LAYOUT``.
@@ -6,6 +6,11 @@ bounding_regions) and ``tables`` (cells of row, col, content); see ``LAYOUT``.
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +22,8 @@ LAYOUT = (
     "paragraphs:array<struct<content:string,bounding_regions:array<struct<page_number:int,polygon:array<float>>>>>,"
     "tables:array<struct<cells:array<struct<row:int,col:int,content:string>>>>>"
 )
+#: Unicode's white space
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: a word below it is unsure; compared as 32-bit floats
 THRESHOLD = 0.50
 UNSURE, SIGNATURE = "[?]", "[SIGNATURE/HANDWRITING]"
@@ -32,40 +39,79 @@ def page_words(pages: Column, number: Column) -> Column:
     return F.try_element_at(F.transform(same, lambda p: F.coalesce(p["words"], F.array().cast("array<struct<content:string,confidence:float,polygon:array<float>>>"))), F.lit(-1))
 
 
+def _sizes(lists: pa.Array) -> list[int]:
+    return pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_pylist()
+
+
+def _unsure(words: pa.Array) -> Iterator[tuple[dict[str | None, list[int]], list[bool | None]]]:
+    """Per list of words the places of each, without case, and which are unsure."""
+    flat, at = words.flatten(), 0
+    folded = [w if w is None else w.lower() for w in flat.field("content").to_pylist()]
+    low = pa.compute.less(flat.field("confidence"), pa.scalar(THRESHOLD, pa.float32())).to_pylist()
+    for n in _sizes(words):
+        places: dict[str | None, list[int]] = {}
+        for k in range(n):
+            places.setdefault(folded[at + k], []).append(k)
+        yield places, low[at : at + n]
+        at += n
+
+
+def _masked_text(texts: pa.Array, words: pa.Array) -> pa.Array:
+    return pa.array([_marked(t, *w) for t, w in zip(texts.to_pylist(), _unsure(words), strict=True)], pa.string())
+
+
+def _body_text(pages: pa.Array, paragraphs: pa.Array) -> pa.Array:
+    page = pages.flatten()
+    numbers, words, lines = page.field("page_number").to_pylist(), list(_unsure(page.field("words"))), page.field("lines")
+    line, per_page = lines.flatten().field("content").to_pylist(), _sizes(lines)
+    paragraph = paragraphs.flatten()
+    said, regions = paragraph.field("content").to_pylist(), paragraph.field("bounding_regions")
+    region, per_paragraph = regions.flatten().field("page_number").to_pylist(), _sizes(regions)
+    shown = lambda t, found: "" if not t or not t.strip(WHITE) else (_marked(t, *found) or "")
+    ended = lambda t, end: t + end if t.strip(WHITE) else ""
+    out, p, x, q, r = [], 0, 0, 0, 0
+    for n_pages, n_paragraphs in zip(_sizes(pages), _sizes(paragraphs), strict=True):
+        known = dict(zip(numbers[p : p + n_pages], words[p : p + n_pages], strict=True))  # of pages with one number the last counts
+        parts = []
+        for k in range(q, q + n_paragraphs):
+            number = region[r] if per_paragraph[k] else 0
+            parts.append(ended(shown(said[k], known.get(number or 0, ({}, []))), "\n\n"))
+            r += per_paragraph[k]
+        for k in range(p, p + n_pages):
+            if not n_paragraphs:
+                parts += [ended(shown(t, known[numbers[k]]), "\n") for t in line[x : x + per_page[k]]] + ["\n"]
+            x += per_page[k]
+        p, q = p + n_pages, q + n_paragraphs
+        out.append("".join(parts))
+    return pa.array(out, pa.string())
+
+
+def _marked(text: str | None, places: dict[str | None, list[int]], unsure: list[bool | None]) -> str | None:
+    tokens = [t for t in (text or "").split(" ") if t]
+    if not unsure or not tokens:
+        return text
+    at, marks, count = 0, [], 0
+    for token in tokens:
+        ahead = places.get(token.lower(), [])
+        k = bisect.bisect_left(ahead, at)  # the place only moves forward
+        if k < len(ahead):
+            at = ahead[k] + 1
+        if k < len(ahead) and unsure[at - 1]:
+            count += 1
+            if not marks or marks[-1] != UNSURE:
+                marks.append(UNSURE)
+        elif token != UNSURE or not marks or marks[-1] != UNSURE:
+            marks.append(token)
+    return SIGNATURE if count == len(tokens) else " ".join(marks)
+
+
 def masked(text: Column | str, words: Column) -> Column:
     """Unsure words of a text replaced by a marker.
 
     The scan over the page's words only moves forward: a word found at i makes the next one look from i + 1,
     a word not found leaves the place. Markers in a row become one; a text of unsure words only is a signature.
     """
-    text = as_column(text)
-    split = F.filter(F.split(text, " ", -1), lambda t: t != "")
-    # a lambda's variable holds the page's words once, where an expression would be evaluated at every step
-    bound = F.array(F.struct(F.transform(words, lambda w: F.lower(w["content"])).alias("folded"), F.transform(words, lambda w: w["confidence"] < F.lit(THRESHOLD).cast("float")).alias("unsure")))
-    return F.when((_count(words) == 0) | (F.size(split) == 0), text).otherwise(F.get(F.transform(bound, lambda b: _fold(split, b)), F.lit(0)))
-
-
-def _fold(split: Column, page: Column) -> Column:
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("low"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, token: Column) -> Column:
-        rest = F.slice(page["folded"], acc["at"] + 1, F.greatest(F.size(page["folded"]) - acc["at"], F.lit(0)))
-        hit = F.coalesce(F.array_position(rest, F.lower(token)), F.lit(0)).cast("int")
-        bound = F.array(F.struct(hit.alias("hit")))
-        return F.get(F.transform(bound, lambda h: after(acc, token, h["hit"])), F.lit(0))
-
-    def after(acc: Column, token: Column, hit: Column) -> Column:
-        place = acc["at"] + hit
-        unsure = (hit > 0) & F.coalesce(F.get(page["unsure"], place - 1), F.lit(False))
-        return F.struct(
-            place.alias("at"), (acc["low"] + F.when(unsure, 1).otherwise(0)).alias("low"), F.concat(acc["out"], F.array(F.when(unsure, F.lit(UNSURE)).otherwise(token))).alias("out"),
-        )
-
-    def finish(acc: Column) -> Column:
-        once = F.filter(acc["out"], lambda x, i: ~((x == UNSURE) & (i > 0) & (F.get(acc["out"], i - 1) == UNSURE)))
-        return F.when(acc["low"] == F.size(acc["out"]), F.lit(SIGNATURE)).otherwise(F.array_join(once, " "))
-
-    return F.aggregate(split, start, step, finish)
+    return F.arrow_udf(_masked_text, "string")(as_column(text), words)
 
 
 def table_markdown(cells: Column | str) -> Column:
@@ -89,20 +135,7 @@ def structured_text(layout: Column | str) -> Column:
     d = as_column(layout)
     pages, paragraphs, tables = d["pages"], d["paragraphs"], d["tables"]
 
-    def clean(text: Column, number: Column) -> Column:
-        words = page_words(pages, number)
-        return F.when(words.isNull(), text).otherwise(masked(text, words))
-
-    said = F.transform(
-        F.filter(paragraphs, lambda p: ~is_blank(p["content"])),
-        lambda p: clean(p["content"], F.coalesce(F.get(p["bounding_regions"], F.lit(0))["page_number"], F.lit(0))),
-    )
-    by_paragraph = F.array_join(F.transform(F.filter(said, lambda t: ~is_blank(t)), lambda t: F.concat(t, F.lit("\n\n"))), "")
-    page_text = lambda p: F.concat(
-        F.array_join(F.transform(F.filter(F.transform(p["lines"], lambda x: clean(x["content"], p["page_number"])), lambda t: ~is_blank(t)), lambda t: F.concat(t, F.lit("\n"))), ""), F.lit("\n")
-    )
-    by_line = F.coalesce(F.array_join(F.transform(pages, page_text), ""), F.lit(""))
-    body = F.when(_count(paragraphs) > 0, by_paragraph).otherwise(by_line)
+    body = F.arrow_udf(_body_text, "string")(pages, paragraphs)
     drawn = F.coalesce(F.array_join(F.transform(tables, lambda t: F.concat(F.lit("\n"), table_markdown(t["cells"]), F.lit("\n\n"))), ""), F.lit(""))
     return rtrim_ws(F.concat(body, drawn))
 

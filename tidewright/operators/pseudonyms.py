@@ -6,10 +6,13 @@ names and is never written by this module.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import secrets
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_column, is_blank, trim_ws
+from ..shared import numbered
 
 KINDS = ("ACCOUNT", "PARTNER", "VENDOR")
 #: shorter names are left in text
@@ -20,14 +23,19 @@ def identity_map(names: DataFrame, ordinal: str = "ordinal", kind: str = "kind",
     """Number the distinct names of each kind in order of first appearance.
 
     Names compare without case and outer white space; the first spelling is kept. Only distinct names are
-    numbered, so the windows see one row per identity, not per mention.
+    numbered, all kinds in one global order that spreads over tasks, less the numbers of the kinds before. What is written on
+    the way holds digests under a key of its own instead of names; equal ordinals go by those.
     """
     named = names.select(F.col(ordinal).alias("at"), F.upper(F.col(kind)).alias("kind"), trim_ws(name).alias("real")).where(~is_blank("real"))
     first = named.groupBy("kind", F.lower("real").alias("real_key")).agg(F.min_by("real", "at").alias("real"), F.min("at").alias("at"))
-    seq = F.row_number().over(Window.partitionBy("kind").orderBy("at", "real_key"))
+    first = first.withColumn("digest", F.sha2(F.concat(F.lit(secrets.token_hex(16)), "real_key"), 256))
+    order = numbered(first.select("kind", "at", "digest"), [F.col("kind"), F.col("at"), F.col("digest")], "place")
+    begins = order.groupBy(F.col("kind").alias("of")).agg(F.min("place").alias("begin"))
+    placed = order.join(begins, F.col("kind").eqNullSafe(F.col("of"))).select(F.col("kind").alias("of"), F.col("digest").alias("own"), (F.col("place") - F.col("begin") + 1).cast("int").alias("kind_seq"))
+    first = first.join(placed, (F.col("digest") == F.col("own")) & F.col("kind").eqNullSafe(F.col("of")))
     token = F.concat(F.col("kind"), F.lit("_"), F.printf(F.lit("%02d"), F.col("kind_seq")))
     kind_order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    return first.withColumn("kind_seq", seq).withColumn("token", token).select("kind", "real_key", "real", "token", "kind_seq", F.col("at").alias("global_seq"), kind_order.alias("kind_order"))
+    return first.withColumn("token", token).select("kind", "real_key", "real", "token", "kind_seq", F.col("at").alias("global_seq"), kind_order.alias("kind_order"))
 
 
 def identity_count(identities: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Deterministic tenant-scoped tokens, with real values only encrypted in a key store.
 
 The store is a Parquet table ``(tenant_id, token_type, token, real_value_hash, real_value_encrypted)``
-partitioned by tenant; (tenant, hash) is unique because registration appends what an anti join leaves.
+partitioned by tenant; (tenant, hash) is unique because registration appends what an anti join leaves. A null
+tenant or type counts as the empty one.
 """
 
 from __future__ import annotations
@@ -14,15 +15,21 @@ from ..functions.text import as_column, is_blank, strip_newlines, trim_ws
 
 STORE_SCHEMA = "tenant_id string, token_type string, token string, real_value_hash string, real_value_encrypted string"
 NONCE, TAG = 12, 16
+#: up to so many tenants of a batch the store is read in their partitions only
+PRUNED = 1000
 
 
 def tenant_hash(tenant: Column | str, kind: Column | str, real: Column | str) -> Column:
     sep = F.lit("\x01")
-    return F.upper(F.sha2(F.concat(as_column(tenant), sep, F.lower(as_column(kind)), sep, F.lower(trim_ws(real))), 256))
+    return F.upper(F.sha2(F.concat(_named(tenant), sep, F.lower(_named(kind)), sep, F.lower(trim_ws(real))), 256))
+
+
+def _named(c: Column | str) -> Column:
+    return F.coalesce(as_column(c), F.lit(""))
 
 
 def token_for(kind: Column | str, hashed: Column | str) -> Column:
-    return F.concat(F.upper(as_column(kind)), F.lit("_"), F.lower(F.substring(as_column(hashed), 1, 12)))
+    return F.concat(F.upper(_named(kind)), F.lit("_"), F.lower(F.substring(as_column(hashed), 1, 12)))
 
 
 def check_key(key: bytes) -> bytes:
@@ -58,18 +65,28 @@ def tokenised(values: DataFrame, tenant: str = "tenant_id", kind: str = "token_t
 
 def new_entries(tokens: DataFrame, store: DataFrame, ordinal: str, tenant: str = "tenant_id", kind: str = "token_type", real: str = "real") -> DataFrame:
     """First value of each (tenant, hash) that the store doesn't have yet."""
-    first = tokens.groupBy(F.col(tenant).alias("tenant_id"), "real_value_hash").agg(F.min_by(F.struct(F.col(kind).alias("k"), "token", trim_ws(real).alias("r")), ordinal).alias("v"))
+    first = tokens.groupBy(_named(tenant).alias("tenant_id"), "real_value_hash").agg(F.min_by(F.struct(_named(kind).alias("k"), "token", trim_ws(real).alias("r")), ordinal).alias("v"))
     first = first.select("tenant_id", F.col("v.k").alias("token_type"), F.col("v.token").alias("token"), "real_value_hash", F.col("v.r").alias("real"))
-    return first.join(store.select("tenant_id", "real_value_hash"), ["tenant_id", "real_value_hash"], "left_anti")
+    return first.join(store.select(_named("tenant_id").alias("tenant_id"), "real_value_hash"), ["tenant_id", "real_value_hash"], "left_anti")
 
 
 def read_store(spark: SparkSession, path: str, tenant: str | None = None) -> DataFrame:
-    """The key store, or one tenant's partition of it; a store not written yet is empty."""
+    """The key store, or one tenant's partition of it; a store not written yet is empty, any other failure raises."""
+    return _partitions(spark, path, None if tenant is None else [tenant])
+
+
+def _partitions(spark: SparkSession, path: str, tenants: list[str] | None) -> DataFrame:
+    """The store, read only where the partitions of ``tenants`` are; the empty tenant's is that of null."""
     try:
         store = spark.read.schema(STORE_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         store = spark.createDataFrame([], STORE_SCHEMA)
-    return store if tenant is None else store.where(F.col("tenant_id") == tenant)
+    if tenants is not None:
+        named = F.col("tenant_id").isin(*[t for t in tenants if t])
+        store = store.where(named | F.col("tenant_id").isNull() if "" in tenants else named)
+    return store.withColumn("tenant_id", _named("tenant_id"))
 
 
 def register(values: DataFrame, path: str, key: bytes, ordinal: str) -> DataFrame:
@@ -78,14 +95,15 @@ def register(values: DataFrame, path: str, key: bytes, ordinal: str) -> DataFram
     The result is keyed by the exact input; of one input under two types the last type's token is shown.
     """
     tokens = tokenised(values)
-    fresh = new_entries(tokens, read_store(values.sparkSession, path), ordinal)
+    met = [r[0] for r in tokens.select(_named("tenant_id")).distinct().limit(PRUNED + 1).collect()]
+    fresh = new_entries(tokens, _partitions(values.sparkSession, path, met if len(met) <= PRUNED else None), ordinal)
     rows = fresh.select("token_type", "token", "real_value_hash", protect("real", key).alias("real_value_encrypted"), "tenant_id")
     rows.write.mode("append").partitionBy("tenant_id").parquet(path)
     return shown(tokens, ordinal)
 
 
 def shown(tokens: DataFrame, ordinal: str) -> DataFrame:
-    return tokens.groupBy("tenant_id", "real").agg(F.max_by("token", ordinal).alias("token"))
+    return tokens.groupBy(_named("tenant_id").alias("tenant_id"), "real").agg(F.max_by("token", ordinal).alias("token"))
 
 
 def reveal(tokens: DataFrame, store: DataFrame, tenant: str, key: bytes) -> DataFrame:

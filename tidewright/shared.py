@@ -17,16 +17,26 @@ _own: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where it is unset (tests) a folder of our own."""
+    """The cluster's shared folder; only where it is unset, and in local mode (tests), a folder of our own."""
     global _own
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own is None:
         _own = "file://" + tempfile.mkdtemp(prefix="tidewright-")
     return _own
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that no column of ``df`` has in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back."""
     spark = df.sparkSession
@@ -63,16 +73,18 @@ def prefix_sums(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
     columns differ), each range is summed on its own, and the ranges' totals, one row per
     partition, are offset against one another.
     """
-    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    parts = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = parts.select("_part", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums])
-    local = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(offsets), "_part")  # bounded: one row per shuffle partition
-    return out.select(*df.columns, *[(F.col(f"_o_{o}") + F.sum(c).over(local)).alias(o) for o, c in sums.items()])
+    part = unused(df, "part")
+    total = {o: unused(df, f"total {o}") for o in sums}
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()))
+    parts = ranged.groupBy(part).agg(*[F.sum(c).alias(total[o]) for o, c in sums.items()])
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = parts.select(part, *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(t) for t in total.values()])
+    local = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(offsets), part)  # bounded: one row per shuffle partition
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(total[o]) + F.sum(c).over(local)).alias(o) for o, c in sums.items()])
 
 
 def numbered(df: DataFrame, order: list, name: str = "ordinal") -> DataFrame:
     """Gapless numbers from 0 in a global order, without a single-task window."""
-    one = df.withColumn("_one", F.lit(1))
-    return prefix_sums(one, order, {name: "_one"}).withColumn(name, F.col(name) - 1).drop("_one")
+    one = unused(df, "one")
+    return prefix_sums(df.withColumn(one, F.lit(1)), order, {name: one}).withColumn(name, F.col(name) - 1).drop(one)

@@ -12,7 +12,27 @@ from pyspark.sql import functions as F
 from ..functions.text import as_column, norm_header, trim_ws
 
 ANCHORS = ("engagement", "engagementdescription", "description", "deal", "opportunity")
-_CELL, _ROW = "\x01", "\x02"
+_CELL, _ROW, _ESCAPE = "\x01", "\x02", "\x03"
+
+
+def _escaped(c: Column | str) -> Column:
+    """A text in which the marks used for splitting are escaped, so that a cell may hold them."""
+    plain = as_column(c)
+    marked = plain
+    for mark, name in ((_ESCAPE, "3"), (_CELL, "1"), (_ROW, "2")):
+        marked = F.replace(marked, F.lit(mark), F.lit(_ESCAPE + name))
+    return F.when(plain.rlike("[\x01-\x03]"), marked).otherwise(plain)
+
+
+def _restored(c: Column) -> Column:
+    plain = c
+    for mark, name in ((_CELL, "1"), (_ROW, "2"), (_ESCAPE, "3")):
+        plain = F.replace(plain, F.lit(_ESCAPE + name), F.lit(mark))
+    return F.when(F.contains(c, F.lit(_ESCAPE)), plain).otherwise(c)
+
+
+def _cells(row: Column) -> Column:
+    return F.transform(F.split(row, _CELL, -1), lambda x: _restored(trim_ws(x)))
 
 
 def quote_count(c: Column | str) -> Column:
@@ -22,19 +42,19 @@ def quote_count(c: Column | str) -> Column:
 
 def split_csv(c: Column | str) -> Column:
     """Cells of one record: quotes toggle and vanish, commas outside them split, cells are trimmed."""
-    parts = F.split(as_column(c), '"', -1)
+    parts = F.split(_escaped(c), '"', -1)
     joined = F.array_join(F.transform(parts, lambda s, i: F.when(i % 2 == 0, F.replace(s, F.lit(","), F.lit(_CELL))).otherwise(s)), "")
-    return F.transform(F.split(joined, _CELL, -1), trim_ws)
+    return _cells(joined)
 
 
 def csv_rows(c: Column | str) -> Column:
     """All records of a text as arrays of cells; a record ends at a line end outside quotes."""
     outside = lambda s: F.regexp_replace(F.replace(s, F.lit(","), F.lit(_CELL)), r"\r\n|\r|\n", _ROW)
     inside = lambda s: F.regexp_replace(s, r"\r\n|\r", "\n")
-    parts = F.split(as_column(c), '"', -1)
+    parts = F.split(_escaped(c), '"', -1)
     joined = F.array_join(F.transform(parts, lambda s, i: F.when(i % 2 == 0, outside(s)).otherwise(inside(s))), "")
     lines = F.split(F.regexp_replace(joined, f"{_ROW}$", ""), _ROW, -1)
-    return F.when(F.length(as_column(c)) > 0, F.transform(lines, lambda r: F.transform(F.split(r, _CELL, -1), trim_ws))).otherwise(F.array().cast("array<array<string>>"))
+    return F.when(F.length(as_column(c)) > 0, F.transform(lines, _cells)).otherwise(F.array().cast("array<array<string>>"))
 
 
 def exploded(texts: DataFrame, rows: Column, source: str = "source") -> DataFrame:
@@ -56,7 +76,8 @@ def read_csv_large(spark: SparkSession, path: str) -> DataFrame:
     """Raw rows of CSV files of any size, split over tasks.
 
     Lines are numbered within their input split. Quotes and record starts are counted per split, and each
-    split's counts are offset by those before it, so no task sees more than a split.
+    split's counts are offset by those before it, so no task sees more than a split, or one record: after a quote that
+    never closes the rest of the file is a single record, as it is for :func:`read_csv_files`.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line"), "value")
     lines = lines.withColumn("quotes", quote_count("value"))
