@@ -251,9 +251,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, secret: in
     return rows.groupBy("a", "cell").applyInArrow(check, "a binary, b binary")
 
 
-def _across(bands: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs between different components of a bucket: its lesser components against all, in cells; each pair once."""
-    placed = written(bands.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root")))
+def _across(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Likely pairs between different components of a bucket: its lesser components against all, in cells; each pair once.
+
+    ``placed`` has ``band``, ``cls`` and ``root``, its component's.
+    """
     per = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
     mixed = per.groupBy("band").agg(F.sum("c").alias("members"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
     mixed = mixed.select("band", F.col("most.root").alias("main"), F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"), F.ceil((F.col("members") - F.col("most.c")) / BLOCK).cast("long").alias("parts"))
@@ -302,6 +304,8 @@ def groups(docs: DataFrame) -> DataFrame:
             F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "key")).alias("rep"), F.first("sig").alias("sig"), F.first("mini").alias("mini")
         ).select("cls", "least_id", "n", F.col("rep.key").alias("key"), "sig", "mini")
     )
+    plain = written(sketches.drop("sig", "mini"))
+    dropped(sketches)
     bands = _bands(classes)
     least = bands.groupBy("band").agg(F.min("cls").alias("a"), F.count("*").alias("members")).where("members > 1").drop("members")
     shared = written(bands.join(least, "band"))
@@ -311,7 +315,11 @@ def groups(docs: DataFrame) -> DataFrame:
     released(docs.sparkSession)
     roots = written(components(links))
     released(docs.sparkSession)
-    rest = written(_across(shared.select("band", "cls"), roots, classes).join(first, ["a", "b"], "left_anti"))
+    placed = written(shared.select("band", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root")))
+    dropped(shared)
+    released(docs.sparkSession)
+    rest = written(_across(placed, classes).join(first, ["a", "b"], "left_anti"))
+    dropped(placed)
     released(docs.sparkSession)
     if rest.limit(1).count():
         more = written(_confirmed(rest, classes, docs, secret))
@@ -320,11 +328,11 @@ def groups(docs: DataFrame) -> DataFrame:
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_class = named.join(ids, "root").select("cls", "component_id", F.col("root").alias("group"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = sketches.drop("sig", "mini").join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "key", "group")
+    out = plain.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "key", "group")
     result = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     result = written(result)
     released(docs.sparkSession)
-    dropped(sketches, classes, shared, stars, links, roots, rest)
+    dropped(plain, classes, stars, links, roots, rest)
     return result
 
 
