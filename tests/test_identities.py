@@ -82,3 +82,28 @@ def test_stream_replay_changes_nothing(spark, tmp_path):
         stream = spark.readStream.schema("tenant_id string, token_type string, real string").parquet(path)
         register_stream(stream, f"{tmp_path}/store", KEY, f"{tmp_path}/check{k}").awaitTermination(60)
     assert tokens.read_store(spark, f"{tmp_path}/store").count() == 5
+
+
+def test_null_tenants_and_types_register_once(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    rows = values(spark, [(None, "Account", "one", 1), (None, None, "two", 2), ("t", "Account", "one", 3), ("", "account", "ONE", 4)])
+    for _ in range(3):
+        shown = tokens.register(rows, path, tokens.Aes(KEY), "at")
+        assert shown.count() == 4 and shown.where("token is null").count() == 0
+    store = tokens.read_store(spark, path)
+    assert store.count() == 3 and tokens.read_store(spark, path, "").count() == 2 and tokens.read_store(spark, path, "t").count() == 1
+    asked = store.select("token")
+    assert {r["real"] for r in tokens.reveal(asked, store, "", KEY).collect()} == {"one", "two"}
+
+
+def test_only_a_missing_store_is_empty(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)scheme|filesystem"):
+        tokens.read_store(spark, "nosuch://host/store").count()
+
+
+def test_numbers_of_kinds_of_any_size(spark):
+    rows = [(i, ("a", "b", None, "c")[i % 4 if i % 50 == 0 else 0], f"n{i}") for i in range(400)]
+    got = identities(spark, rows).collect()
+    for kind in ("A", "B", "C", None):
+        own = sorted((r["global_seq"], r["kind_seq"]) for r in got if r["kind"] == kind)
+        assert [k for _, k in own] == list(range(1, len(own) + 1))

@@ -186,3 +186,59 @@ def test_remote_table(spark):
     source = prompts.RemotePrompts(lambda k: (200, f"p {k}") if k == "a" else (404, None))
     got = {tuple(r) for r in source.table(spark, [("a", "f"), ("b", "f"), ("a", "f")]).collect()}
     assert got == {("a", "p a"), ("b", "f")}
+
+
+def templates(spark, rows):
+    plain = spark.createDataFrame(rows, "prompt_key string, client_id int, prompt_text string, model_id string, version int, is_active boolean, include_in_quality_analysis boolean")
+    return spark.createDataFrame([], prompts.SCHEMA).unionByName(plain, allowMissingColumns=True)
+
+
+def test_prompt_service(spark, tmp_path):
+    now, told = [0.0], []
+
+    class Hook:
+        def superseded(self, events):
+            told.extend(tuple(r) for r in events.collect())
+
+    repository = prompts.SnapshotRepository(spark, f"{tmp_path}/prompts")
+    assert repository.load().count() == 0
+    repository.save(templates(spark, [("k", None, "global", "m", 1, True, True), ("k", 1, "own", None, 1, True, False), ("e", None, "", None, 1, True, False)]))
+    service = prompts.PromptService(repository, prompts.PromptCache(clock=lambda: now[0], seconds=10), Hook())
+    asked = [("k", None), ("k", 1), ("k", 2), ("e", None), ("none", None)]
+    assert service.texts(asked) == {("k", None): "global", ("k", 1): "own", ("k", 2): "global", ("e", None): "", ("none", None): ""}
+    assert service.models([("k", 1), ("e", None)]) == {("k", 1): "m", ("e", None): None}
+    service.upsert(templates(spark, [("k", None, "new", "m2", 9, False, True), ("none", None, "now", None, 1, True, True)]))
+    assert told == [("k", None, 1, 2)]
+    assert service.texts(asked) == {("k", None): "new", ("k", 1): "own", ("k", 2): "global", ("e", None): "", ("none", None): "now"}  # client 2's stays until it expires
+    assert service.models([("k", 1)]) == {("k", 1): "m"}
+    now[0] = 11
+    assert service.get("k", "f", 2) == "new" and service.get("e", "f") == "f" and service.models([("k", 1)]) == {("k", 1): "m2"}
+    service.reset("k", 1)
+    assert service.get("k", "f", 1) == "new"
+    assert service.rollback("k", None, 1) and not service.rollback("k", None, 99)
+    assert service.get("k", "f") == "global" and [r["version"] for r in service.history("k").collect()] == [3, 2, 1] and service.visible(1).count() == 3
+    assert {tuple(r) for r in service.table(spark, [("k", None), ("x", None)]).collect()} == {("k", None, "global"), ("x", None, "")}
+
+
+def test_agents_with_sources_and_clients(spark):
+    rows = spark.createDataFrame([(1, "ok", "a"), (2, "ok", "b"), (3, "ok", None)], "i int, t string, c string")
+    source = spark.createDataFrame([("number", None, "four"), ("number", "a", "threes"), ("number", "b", ""), ("other", "a", "x")], "prompt_key string, client_id string, text string")
+    assert {r["i"]: r["result"] for r in Number().run(rows, number_chat, source, client="c").collect()} == {1: 6, 2: 8, 3: 4}
+    remote = prompts.RemotePrompts(lambda key: (200, "seven77") if key == "number" else (404, None))
+    assert {r["result"] for r in Number().run(rows, number_chat, remote).collect()} == {7}
+
+
+def test_running_totals_carry_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, 1, 2, 3) for i in range(50)], "x int, _part int, Part int, `one` int").repartition(3)
+    out = numbered(df, [F.col("x")], "n")
+    assert out.columns == ["x", "_part", "Part", "one", "n"] and all(r["x"] == r["n"] and r[1:4] == (1, 2, 3) for r in out.collect())
+
+
+def test_long_pages_are_masked_in_linear_time(spark):
+    import time
+
+    text = " ".join(f"w{i % 5000}" for i in range(60_000))
+    words = F.transform(F.split("t", " "), lambda w, i: F.struct(w.alias("content"), F.when(i % 7 == 0, 0.1).otherwise(0.9).cast("float").alias("confidence"), F.lit(None).cast("array<float>").alias("polygon")))
+    began = time.time()
+    got = spark.createDataFrame([(text,)], "t string").select(ocr.masked("t", words).alias("m")).first()["m"].split(" ")
+    assert len(got) == 60_000 and got[7] == "[?]" and got[8] == "w8" and time.time() - began < 60

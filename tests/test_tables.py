@@ -99,3 +99,22 @@ def test_documents(spark, tmp_path):
     plain = {r["path"].rsplit("/", 1)[1]: r["text"] for r in documents.extract(spark, str(tmp_path)).collect()}
     assert plain == {"a.pdf": "", "b.TXT": "bad", "c.pdf": "", "d.md": "hollow"}
     assert spark.range(1).select(tables.quote_count(F.lit('a"b""'))).first()[0] == 3
+
+
+@pytest.mark.parametrize("text", ["a\x01b,c", 'x\x02y,"p\x01,\x02q"\nz\x031,\x03\x03', "\x011\x033,\x02", '"\x03\r\n\x02"'])
+def test_cells_keep_control_characters(spark, text):
+    df = spark.createDataFrame([("s", text)], "source string, text string")
+    rows, row, cell, quoted = [], [], "", False
+    for c in text.replace("\r\n", "\n"):
+        if c == '"':
+            quoted = not quoted
+        elif c == "," and not quoted:
+            row, cell = [*row, cell.strip()], ""
+        elif c == "\n" and not quoted:
+            rows, row, cell = [*rows, [*row, cell.strip()]], [], ""
+        else:
+            cell += c
+    rows.append([*row, cell.strip()])
+    assert [r["cells"] for r in tables.read_csv_text(df).orderBy("row_idx").collect()] == rows
+    if len(rows) == 1:
+        assert df.select(tables.split_csv("text").alias("c")).first()["c"] == [c.replace("\n", "\r\n") for c in rows[0]]

@@ -55,6 +55,14 @@ def url_escape(text: str) -> str:
     return quote(text, safe="")
 
 
+def url_escaped(c: Column | str) -> Column:
+    """The same of a column (``url_encode`` is for forms)."""
+    out = F.url_encode(as_column(c))
+    for form, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(form), F.lit(plain))
+    return out
+
+
 def cache_key(*parts: Column | str) -> Column:
     """A lookup key out of several columns, nulls as empty."""
     return F.concat_ws("\x1f", *[F.coalesce(as_column(p).cast("string"), F.lit("")) for p in parts])

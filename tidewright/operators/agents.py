@@ -35,20 +35,6 @@ class PromptSource(Protocol):
     def get(self, key: str, fallback: str) -> str: ...
 
 
-class PromptRepository(Protocol):
-    def load(self) -> DataFrame: ...
-    def save(self, templates: DataFrame) -> None: ...
-
-
-class PromptSavedHook(Protocol):
-    def superseded(self, events: DataFrame) -> None: ...
-
-
-class Cipher(Protocol):
-    def protect(self, value: str) -> str: ...
-    def unprotect(self, value: str) -> str: ...
-
-
 class ProviderRegistry:
     """Providers by name; unknown, blank or missing names give the default."""
 
@@ -89,13 +75,25 @@ class Agent:
             return self.on_failure()
         return self.parse(raw)  # its errors are the caller's
 
-    def run(self, rows: DataFrame, chat: Chat, prompts: DataFrame | None = None, out: str = "result") -> DataFrame:
-        """``rows`` with a result column; ``prompts`` has (``prompt_key``, ``text``)."""
+    def run(self, rows: DataFrame, chat: Chat, prompts: DataFrame | PromptSource | None = None, out: str = "result", client: str | None = None) -> DataFrame:
+        """``rows`` with a result column.
+
+        ``prompts`` is a source asked once, or a table (``prompt_key``, ``text``); with ``client``, a column of ``rows``, the table's
+        ``client_id`` tells the clients' texts and, where null, the one for all others.
+        """
         system = F.lit(self.fallback_prompt)
         columns = rows.columns
-        if prompts is not None:
-            own = prompts.where(F.col("prompt_key") == self.key).agg(F.max("text").alias("_system"))  # one row
-            rows, system = rows.crossJoin(own), or_fallback("_system", self.fallback_prompt)
+        if isinstance(prompts, DataFrame):
+            mine = prompts.where(F.col("prompt_key") == self.key)
+            every = mine if client is None else mine.where("client_id is null")
+            rows = rows.crossJoin(every.agg(F.max("text").alias("_system")))  # one row
+            system = F.col("_system")
+            if client is not None:
+                own = mine.where("client_id is not null").groupBy(F.col("client_id").alias("_client")).agg(F.max("text").alias("_own"))
+                rows, system = rows.join(own, F.col(client) == F.col("_client"), "left"), F.coalesce("_own", "_system")
+            system = or_fallback(system, self.fallback_prompt)
+        elif prompts is not None:
+            system = F.lit(prompts.get(self.key, self.fallback_prompt))
         given = rows.select(*columns, system.alias("_system"))
         schema = T.StructType([*given.drop("_system").schema.fields, T.StructField(out, self.schema)])
         agent = self

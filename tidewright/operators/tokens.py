@@ -7,6 +7,8 @@ tenant or type counts as the empty one.
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -32,6 +34,30 @@ def token_for(kind: Column | str, hashed: Column | str) -> Column:
     return F.concat(F.upper(_named(kind)), F.lit("_"), F.lower(F.substring(as_column(hashed), 1, 12)))
 
 
+class Cipher(Protocol):
+    """Protects values before they are stored."""
+
+    def protect(self, value: Column) -> Column: ...
+    def unprotect(self, value: Column) -> Column: ...
+
+
+class Aes:
+    """The cipher of a 32-byte key."""
+
+    def __init__(self, key: bytes) -> None:
+        self.key = check_key(key)
+
+    def protect(self, value: Column) -> Column:
+        return protect(value, self.key)
+
+    def unprotect(self, value: Column) -> Column:
+        return unprotect(value, self.key)
+
+
+def _cipher(given: bytes | Cipher) -> Cipher:
+    return Aes(given) if isinstance(given, bytes) else given
+
+
 def check_key(key: bytes) -> bytes:
     if len(key) != 32:
         raise ValueError("the key must have 32 bytes")
@@ -89,7 +115,7 @@ def _partitions(spark: SparkSession, path: str, tenants: list[str] | None) -> Da
     return store.withColumn("tenant_id", _named("tenant_id"))
 
 
-def register(values: DataFrame, path: str, key: bytes, ordinal: str) -> DataFrame:
+def register(values: DataFrame, path: str, key: bytes | Cipher, ordinal: str) -> DataFrame:
     """Tokens of all values, after appending new ones to the store at ``path``.
 
     The result is keyed by the exact input; of one input under two types the last type's token is shown.
@@ -97,7 +123,7 @@ def register(values: DataFrame, path: str, key: bytes, ordinal: str) -> DataFram
     tokens = tokenised(values)
     met = [r[0] for r in tokens.select(_named("tenant_id")).distinct().limit(PRUNED + 1).collect()]
     fresh = new_entries(tokens, _partitions(values.sparkSession, path, met if len(met) <= PRUNED else None), ordinal)
-    rows = fresh.select("token_type", "token", "real_value_hash", protect("real", key).alias("real_value_encrypted"), "tenant_id")
+    rows = fresh.select("token_type", "token", "real_value_hash", _cipher(key).protect(F.col("real")).alias("real_value_encrypted"), "tenant_id")
     rows.write.mode("append").partitionBy("tenant_id").parquet(path)
     return shown(tokens, ordinal)
 
@@ -106,10 +132,10 @@ def shown(tokens: DataFrame, ordinal: str) -> DataFrame:
     return tokens.groupBy(_named("tenant_id").alias("tenant_id"), "real").agg(F.max_by("token", ordinal).alias("token"))
 
 
-def reveal(tokens: DataFrame, store: DataFrame, tenant: str, key: bytes) -> DataFrame:
+def reveal(tokens: DataFrame, store: DataFrame, tenant: str, key: bytes | Cipher) -> DataFrame:
     """Real values of a tenant's tokens; unknown tokens are left out, an ambiguous one raises."""
     own = store.where(F.col("tenant_id") == tenant).select("token", "real_value_encrypted")
     found = tokens.select("token").distinct().join(own, "token")
     once = found.groupBy("token").agg(F.count("*").alias("n"), F.first("real_value_encrypted").alias("sealed"))
     sealed = F.when(F.col("n") == 1, F.col("sealed")).otherwise(F.raise_error(F.concat(F.lit("ambiguous token "), F.col("token"))).cast("string"))
-    return once.select("token", unprotect(sealed, key).alias("real"))
+    return once.select("token", _cipher(key).unprotect(sealed).alias("real"))

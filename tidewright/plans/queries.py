@@ -5,19 +5,26 @@ Where an operator's input isn't in the tables (CSV, fences, layouts, templates),
 
 from __future__ import annotations
 
+import io
+import json
 import os
+import uuid
+import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import normalize_dates
-from ..functions.text import unfence
+from ..functions.text import cache_key, unfence, url_escaped
 from ..operators import agents, chat, ocr, prompts, pseudonyms, tokens
-from ..shared import numbered
+from ..shared import numbered, shared_folder
+from ..sources import chats, tables
 from ..sources import documents as files
-from ..sources import tables
+from ..sources.xlsx import read_xlsx
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,6 +105,40 @@ def protect_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sealed.select("s_suppkey", tokens.unprotect("sealed", KEY).alias("real"), (~F.contains("sealed", "s_name")).alias("hidden"))
 
 
+@query(
+    f"SELECT c_mktsegment AS tenant_id, 'Account' AS token_type, 'ACCOUNT_' || lower(substr({_C_HASH}, 1, 12)) AS token, {_C_HASH} AS real_value_hash, c_name AS real, true AS hidden FROM customer "
+    "UNION ALL SELECT '', 'Vendor', 'VENDOR_' || lower(substr({h}, 1, 12)), {h}, s_name, true FROM supplier".format(h="upper(sha256(concat('', chr(1), 'vendor', chr(1), lower(trim(s_name)))))")
+)
+def key_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and, without tenant, suppliers, registered twice into a written store among blank values; the store read back."""
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    rows = _accounts(spark, sf_dir).withColumnRenamed("c_custkey", "at")
+    vendors = _table(spark, sf_dir, "supplier").select(F.lit(None).cast("string").alias("tenant_id"), F.lit("Vendor").alias("token_type"), F.col("s_name").alias("real"), (F.col("s_suppkey") + 10**9).alias("at"))
+    blank = rows.withColumn("real", F.when(F.col("at") % 2 == 0, F.lit(" \t"))).withColumn("at", F.col("at") + 2 * 10**9)
+    for given in (rows.unionByName(vendors).unionByName(blank), rows.unionByName(vendors).withColumn("real", F.concat(F.lit(" "), F.upper("real")))):
+        tokens.register(given, path, tokens.Aes(KEY), "at").count()
+    sealed = F.col("real_value_encrypted")
+    return tokens.read_store(spark, path).select("tenant_id", "token_type", "token", "real_value_hash", tokens.unprotect(sealed, KEY).alias("real"), (~F.contains(sealed, F.col("token"))).alias("hidden"))
+
+
+@query("SELECT n_nationkey, n_nationkey + 16 = 32 AS good FROM nation")
+def key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def good(n: int) -> bool:
+        try:
+            return bool(tokens.check_key(bytes(n)))
+        except ValueError:
+            return False
+
+    keys = [r[0] for r in _table(spark, sf_dir, "nation").select("n_nationkey").collect()]  # 25 nations
+    return spark.createDataFrame([(k, good(k + 16)) for k in keys], "n_nationkey long, good boolean")
+
+
+@query("SELECT p_partkey, url_encode(p_type || ' é/~*' || p_name) AS escaped, p_brand || chr(31) || chr(31) || CAST(p_partkey AS VARCHAR) AS key FROM part")
+def lookup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat("p_type", F.lit(" é/~*"), "p_name")
+    return _table(spark, sf_dir, "part").select("p_partkey", url_escaped(said).alias("escaped"), cache_key("p_brand", F.lit(None), "p_partkey").alias("key"))
+
+
 # pseudonyms
 
 
@@ -202,10 +243,10 @@ def date_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _record(key: str = "p_partkey") -> F.Column:
-    return F.concat(F.lit('"'), F.col("p_name"), F.lit(', "" large"  , '), F.col("p_brand"), F.lit(' ,"'), F.col("p_type"), F.lit(' "",x",'), F.col(key).cast("string"))
+    return F.concat(F.lit('"'), F.col("p_name"), F.lit('\x01\x02, "" large"  , '), F.col("p_brand"), F.lit(' ,"'), F.col("p_type"), F.lit(' "",x",'), F.col(key).cast("string"))
 
 
-@query("SELECT p_partkey, trim(p_name || ',  large') AS c1, p_brand AS c2, p_type || ' ,x' AS c3, CAST(p_partkey AS VARCHAR) AS c4, CAST(4 AS INTEGER) AS n FROM part")
+@query("SELECT p_partkey, trim(p_name || chr(1) || chr(2) || ',  large') AS c1, p_brand AS c2, p_type || ' ,x' AS c3, CAST(p_partkey AS VARCHAR) AS c4, CAST(4 AS INTEGER) AS n FROM part")
 def csv_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _table(spark, sf_dir, "part").select("p_partkey", tables.split_csv(_record()).alias("c"))
     return cells.select("p_partkey", *[F.get("c", F.lit(i)).alias(f"c{i + 1}") for i in range(4)], F.size("c").alias("n"))
@@ -213,15 +254,15 @@ def csv_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SELECT p_brand AS source, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS BIGINT) AS row_idx, trim(p_name) || chr(10) || 'and, more' AS name, p_type AS kind, "
-    "quotes FROM (SELECT *, CAST(4 AS INTEGER) AS quotes FROM part)"
+    "CAST(4 * count(*) OVER (PARTITION BY p_brand) AS INTEGER) AS quotes FROM part"
 )
 def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One CSV text per brand, with line ends and commas within quotes."""
     line = F.concat(F.lit('"'), F.col("p_name"), F.lit('\r\nand, more","'), F.col("p_type"), F.lit('"'))
     texts = _table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line"))))["line"], "\n").alias("text"))
     rows = tables.read_csv_text(texts.withColumnRenamed("p_brand", "source"))
-    quotes = tables.quote_count(F.lit('""a"b"')).cast("int")
-    return rows.select("source", "row_idx", F.get("cells", F.lit(0)).alias("name"), F.get("cells", F.lit(1)).alias("kind"), quotes.alias("quotes"))
+    quotes = texts.select(F.col("p_brand").alias("source"), tables.quote_count("text").cast("int").alias("quotes"))
+    return rows.join(quotes, "source").select("source", "row_idx", F.get("cells", F.lit(0)).alias("name"), F.get("cells", F.lit(1)).alias("kind"), "quotes")
 
 
 def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,6 +314,77 @@ def ocr_table_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.wide(tables.with_header(tables.ocr_rows(texts)), {"deal": ("deal",), "key": ("KEY",)})
 
 
+@query("SELECT r_name AS source, CAST(0 AS BIGINT) AS n_rows, true AS same_columns FROM region")
+def empty_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without rows: no headers and no rows, in the columns of any other table."""
+    texts = _table(spark, sf_dir, "region").select(F.col("r_name").alias("source"), F.lit("").alias("text"))
+    table = tables.with_header(tables.read_csv_text(texts))
+    same = table.columns == tables.with_header(_sheets(spark, sf_dir)).columns
+    counts = table.groupBy("source").agg(F.count("*").alias("n"))
+    return texts.join(counts, "source", "left").select("source", F.coalesce("n", F.lit(0)).cast("long").alias("n_rows"), F.lit(same).alias("same_columns"))
+
+
+def _books(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of one workbook per region: a banner sheet, and one with a header and its nations."""
+    folder = f"{shared_folder(spark)}/books-{uuid.uuid4().hex}"
+    by: dict[int, list[tuple[int, str]]] = {}
+    for r in _table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name").collect():  # 25 nations
+        by.setdefault(r[0], []).append((r[1], r[2]))
+    main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    text = lambda ref, t: f'<c r="{ref}" t="inlineStr"><is><t>{t}</t></is></c>'
+    for region, nations in by.items():
+        rows = f'<row r="2">{text("A2", "Deal")}{text("C2", "Key")}</row>'
+        rows += "".join(f'<row r="{k}">{text(f"A{k}", name)}<c r="C{k}"><v>{n}</v></c></row><row/>' for k, (n, name) in enumerate(sorted(nations), 3))
+        parts = {
+            "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="Cover" r:id="a"/><sheet name="Data" r:id="b"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="a" Target="a.xml"/><Relationship Id="b" Target="b.xml"/></Relationships>',
+            "xl/a.xml": f'<worksheet xmlns="{main}"><sheetData/></worksheet>',
+            "xl/b.xml": f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>',
+        }
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for name, content in parts.items():
+                z.writestr(name, content)
+        system, root = pa.fs.FileSystem.from_uri(folder)
+        system.create_dir(root)
+        with system.open_output_stream(f"{root}/{region}.xlsx") as f:
+            f.write(data.getvalue())
+    return folder
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS region, n_name AS deal, CAST(n_nationkey AS VARCHAR) AS key FROM nation")
+def xlsx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second sheet of a workbook per region."""
+    rows = tables.wide(tables.with_header(read_xlsx(spark, _books(spark, sf_dir), "data")), {"deal": ("deal",), "key": ("key",)})
+    return rows.select(F.regexp_extract("source", r"(\d+)\.xlsx$", 1).alias("region"), "deal", "key")
+
+
+def _layout_of(content: bytes) -> dict:
+    """An analyzer: a page with the file's words, each second one unsure, and its lines; some files can't be read."""
+    text = content.decode()
+    if text.startswith("A"):
+        raise ValueError("unreadable")
+    words = [{"content": w, "confidence": 0.25 + 0.5 * (k % 2), "polygon": None} for k, w in enumerate(text.split())]
+    return {"pages": [{"page_number": 1, "width": None, "height": None, "unit": None, "words": words, "lines": [{"content": line, "polygon": None} for line in text.splitlines()]}], "paragraphs": None, "tables": None}
+
+
+@query(
+    "SELECT n_regionkey AS region, plain, CASE WHEN lead LIKE 'A%' THEN plain ELSE masked END AS text, CAST(CASE WHEN lead LIKE 'A%' THEN 0 ELSE 1 END AS INTEGER) AS pages FROM ("
+    "SELECT n_regionkey, min(n_name) AS lead, string_agg(replace(n_name, ' ', '_') || ' ' || n_nationkey || chr(10), '' ORDER BY n_name) AS plain, "
+    "string_agg('[?] ' || n_nationkey, chr(10) ORDER BY n_name) AS masked FROM nation GROUP BY 1)"
+)
+def document_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file per region with a line per nation, through the analyzer and without one."""
+    folder = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    line = F.concat(F.replace("n_name", F.lit(" "), F.lit("_")), F.lit(" "), F.col("n_nationkey").cast("string"))
+    texts = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n_name", line.alias("line"))))["line"], "\n").alias("value"))
+    texts.write.partitionBy("n_regionkey").text(folder)
+    region = F.regexp_extract("path", r"n_regionkey=(\d+)/", 1).cast("long").alias("region")
+    source = f"{folder}/*/*.txt"
+    plain = files.extract(spark, source).select(region, F.col("text").alias("plain"))
+    return files.extract(spark, source, _layout_of).select(region, "text", F.size("pages").alias("pages")).join(plain, "region")
+
+
 # layouts
 
 
@@ -332,12 +444,13 @@ def ocr_table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per conversation two pages whose lines are its turns; odd conversations have a paragraph per turn, on both pages and an unknown one."""
+    """Per conversation two pages whose lines are its turns and whose words its first turn's, each third unsure; odd conversations have a paragraph per turn, on both pages and an unknown one."""
     c = _table(spark, sf_dir, "conversations")
     per = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("said"))
     nothing = F.array().cast("array<float>")
     line = lambda s: F.struct(s["text"].alias("content"), nothing.alias("polygon"))
-    words = F.array(F.struct(F.lit("x").alias("content"), F.lit(0.25).cast("float").alias("confidence"), F.lit(None).cast("array<float>").alias("polygon")))
+    tokens = F.filter(F.split(F.get("said", F.lit(0))["text"], " ", -1), lambda w: w != "")
+    words = F.transform(tokens, lambda w, i: F.struct(w.alias("content"), F.when(i % 3 == 0, F.lit(0.25)).otherwise(F.lit(0.75)).cast("float").alias("confidence"), F.lit(None).cast("array<float>").alias("polygon")))
     page = lambda k, w, u: F.struct(F.lit(k).alias("page_number"), w.alias("width"), F.lit(None).cast("double").alias("height"), u.alias("unit"), words.alias("words"), F.transform("said", line).alias("lines"))
     pages = F.array(page(1, F.lit(8.5), F.lit("cm")), page(2, F.lit(None).cast("double"), F.lit(None).cast("string")))
     region = lambda k: F.struct(F.lit(k).alias("page_number"), F.array(F.lit(1.0).cast("float")).alias("polygon"))
@@ -346,10 +459,19 @@ def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("conv_id", F.struct(pages.alias("pages"), paragraphs.alias("paragraphs"), table.alias("tables")).cast(ocr.LAYOUT).alias("layout"))
 
 
+_HIT = "CAST(coalesce(list_position(list_slice(words, a.at + 1, len(words)), lower(x.t)), 0) AS INTEGER)"
+
+
 @query(
-    r"""WITH said AS (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '^[\s\p{Z}]*$') THEN '' WHEN trim(text) = 'x' THEN '[SIGNATURE/HANDWRITING]' ELSE """
-    + f"list_aggregate({_PARTS}, 'string_agg', ' ')"
-    + r""" END AS t FROM conversations),
+    f"""WITH words AS (SELECT conv_id, list_transform({_PARTS}, lambda w: lower(w)) AS words FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY 1)),
+folds AS (
+  SELECT conv_id, turn, text, len(words) AS n, list_reduce(list_prepend({{'at': 0, 't': '', 'o': []::VARCHAR[]}}, list_transform({_PARTS}, lambda w: {{'at': 0, 't': w, 'o': []::VARCHAR[]}})),
+    lambda a, x: {{'at': a.at + {_HIT}, 't': '', 'o': list_append(a.o, CASE WHEN {_HIT} > 0 AND (a.at + {_HIT} - 1) % 3 = 0 THEN '[?]' ELSE x.t END)}}).o AS o
+  FROM conversations JOIN words USING (conv_id)),"""
+    r"""
+said AS (
+  SELECT conv_id, turn, CASE WHEN regexp_matches(text, '^[\s\p{Z}]*$') THEN '' WHEN n = 0 THEN text WHEN len(list_filter(o, lambda w: w <> '[?]')) = 0 THEN '[SIGNATURE/HANDWRITING]'
+    ELSE list_aggregate(list_filter(o, lambda w, i: NOT (w = '[?]' AND i > 1 AND o[i - 1] = '[?]')), 'string_agg', ' ') END AS t FROM folds),
 joined AS (SELECT conv_id, string_agg(CASE WHEN t <> '' THEN t || chr(10) || chr(10) ELSE '' END, '' ORDER BY turn) AS para,
   string_agg(CASE WHEN t <> '' THEN t || chr(10) ELSE '' END, '' ORDER BY turn) || chr(10) AS page FROM said GROUP BY 1)
 SELECT conv_id, regexp_replace(CASE WHEN conv_id % 2 = 1 THEN para ELSE page || page END ||
@@ -360,14 +482,14 @@ def ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT conv_id, p AS page_number, CAST(CASE WHEN p = 1 THEN 8.5 ELSE 0.0 END AS DOUBLE) AS width, CAST(0 AS DOUBLE) AS height, CASE WHEN p = 1 THEN 'cm' ELSE 'inch' END AS unit, CAST(1 AS INTEGER) AS n_words, CAST(0 AS INTEGER) AS n_polygon, "
-    "CAST(count(*) AS INTEGER) AS n_lines, CAST(CASE WHEN conv_id % 2 = 1 THEN count(*) ELSE 0 END AS INTEGER) AS n_paragraphs FROM conversations, (SELECT unnest([1, 2]) AS p) GROUP BY conv_id, p"
+    "SELECT conv_id, p AS page_number, CAST(CASE WHEN p = 1 THEN 8.5 ELSE 0.0 END AS DOUBLE) AS width, CAST(0 AS DOUBLE) AS height, CASE WHEN p = 1 THEN 'cm' ELSE 'inch' END AS unit, "
+    f"array_to_string({_PARTS.replace('text', 'arg_min(text, turn)')}, ' ') AS words, string_agg(text, chr(31) ORDER BY turn) AS lines, CASE WHEN conv_id % 2 = 1 THEN string_agg(text, chr(31) ORDER BY turn) ELSE '' END AS paragraphs "
+    "FROM conversations, (SELECT unnest([1, 2]) AS p) GROUP BY conv_id, p"
 )
 def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _layouts(spark, sf_dir).select("conv_id", F.explode(ocr.page_data("layout")).alias("p"))
     return pages.select(
-        "conv_id", "p.page_number", "p.width", "p.height", "p.unit", F.size("p.words").alias("n_words"), F.size(F.get("p.words", F.lit(0))["polygon"]).alias("n_polygon"),
-        F.size("p.lines").alias("n_lines"), F.size("p.paragraphs").alias("n_paragraphs"),
+        "conv_id", "p.page_number", "p.width", "p.height", "p.unit", F.array_join("p.words.content", " ").alias("words"), F.array_join("p.lines.content", "\x1f").alias("lines"), F.array_join("p.paragraphs.content", "\x1f").alias("paragraphs"),
     )
 
 
@@ -452,6 +574,56 @@ def route_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", chat.provider(keys).alias("provider"))
 
 
+def _post(path: str, body: str) -> tuple[int, str]:
+    """An endpoint of either shape that says the model and the text again."""
+    b = json.loads(body)
+    said = f"{b['model']}:{b['messages'][-1]['content']}!"
+    parts = [{"text": said[:3]}, {"type": "other"}, {"text": said[3:]}]
+    return (200, json.dumps({"choices": [{"message": {"content": parts}}]})) if path == "chat/completions" else (201, json.dumps({"content": parts}))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'm1:' ELSE 'own:' END || text || '!' AS content FROM conversations")
+def chat_completed_openai(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, none = F.when(F.col("turn") % 2 == 1, "own"), F.lit(None)
+    body = chat.openai_body(F.col("text"), none.cast("string"), model, F.lit(0.0), F.lit(False), none.cast("int"), "m1")
+    return chats.completed(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), body, _post).select("conv_id", "turn", "content")
+
+
+@query("SELECT conv_id, turn, 'm2:' || text || '!' AS content FROM conversations")
+def chat_completed_anthropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None)
+    body = chat.anthropic_body(F.col("text"), F.col("role"), none.cast("string"), F.lit(0.0), none.cast("int"), "m2")
+    return chats.completed(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", "role"), body, _post, chat.ANTHROPIC).select("conv_id", "turn", "content")
+
+
+class _Routed(agents.Agent):
+    """A turn's text through the registry, by the event-like key of its row."""
+
+    key = "routed"
+
+    def build_user(self, row: dict) -> str:
+        return f"{row['key'] or ''}|{row['text']}"
+
+    def parse(self, raw: str) -> str:
+        return raw
+
+    def on_failure(self) -> str:
+        return "failed"
+
+
+def _routed_chat(turn: dict) -> str:
+    registry = agents.ProviderRegistry({"openai": chats.OpenAiShape(_post, chat.LlmOptions(model_id="mo")), "anthropic": chats.AnthropicShape(_post, chat.AnthropicOptions(model_id="ma"))}, "openai")
+    key, text = turn["user"].split("|", 1)
+    return registry.complete({"provider_key": key, "user_prompt": text, "system_prompt": turn["system"]})
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'ma:' ELSE 'mo:' END || text || '!' AS result FROM conversations")
+def chat_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = F.get(F.array(F.lit(None), F.lit("Anthropic"), F.lit("nobody")), (F.col("turn") % 3).cast("int"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", keys.alias("key"))
+    return _Routed().run(rows, _routed_chat).select("conv_id", "turn", "result")
+
+
 # prompts
 
 _TEMPLATES = """
@@ -571,6 +743,58 @@ def prompt_egress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", prompts.egress_record(body).alias("e")).select("conv_id", "turn", F.col("e.promptKey").alias("prompt_key"), F.col("e.promptText").alias("prompt_text"), F.col("e.modelId").alias("model_id"))
 
 
+@query(
+    f"WITH {_TEMPLATES}, {_RESOLVED} SELECT prompt_key, client_id, coalesce(nullif(text, ''), 'be brief') AS before, CASE WHEN prompt_key <> 'none such' AND (client_id IS NULL OR client_id = 1) THEN 'new ' || prompt_key "
+    "ELSE coalesce(nullif(text, ''), CASE WHEN prompt_key <> 'none such' AND NOT EXISTS (SELECT 1 FROM act a WHERE a.prompt_key = found.prompt_key AND (a.client_id IS NULL OR a.client_id = found.client_id)) THEN 'new ' || prompt_key ELSE 'be brief' END) END AS after, "
+    "CASE WHEN prompt_key <> 'none such' AND client_id IS NULL OR client_id = 1 AND prompt_key <> 'none such' THEN (SELECT max(version) FROM templates t WHERE is_active AND t.prompt_key = found.prompt_key AND t.client_id IS NOT DISTINCT FROM found.client_id) END AS superseded FROM found"
+)
+def prompt_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts through the cache, before and after new versions of the global prompts and client 1's: what others fell back to stays until it expires.
+
+    The hook hears of every version that was superseded.
+    """
+    told: list[DataFrame] = []
+
+    class Hook:
+        def superseded(self, events: DataFrame) -> None:
+            told.append(events)
+
+    repository = prompts.SnapshotRepository(spark, f"{shared_folder(spark)}/prompts-{uuid.uuid4().hex}")
+    repository.save(_templates(spark, sf_dir))
+    service = prompts.PromptService(repository, hook=Hook())
+    pairs = [tuple(r) for r in _requests(spark, sf_dir).collect()]  # prompt keys by clients
+    before = service.texts(pairs)
+    changed = _changes(spark, sf_dir)
+    service.upsert(changed.withColumn("client_id", F.when(F.col("client_id") == 7, F.lit(1))))
+    after = service.texts(pairs)
+    rows = spark.createDataFrame([(*p, before[p] or "be brief", after[p] or "be brief") for p in pairs], "prompt_key string, client_id int, before string, after string")
+    events = told[0].select(F.col("prompt_key").alias("k"), F.col("client_id").alias("c"), F.col("previous_version").alias("superseded"))
+    return rows.join(events, (F.col("prompt_key") == F.col("k")) & F.col("client_id").eqNullSafe(F.col("c")), "left").drop("k", "c")
+
+
+def _fetch(key: str) -> tuple[int, str | None]:
+    if key.startswith("STANDARD"):
+        raise OSError("down")
+    return {"E": (404, None), "L": (500, "not this"), "M": (200, None), "P": (200, f"remote {key}")}.get(key[0], (200, "other"))
+
+
+@query("SELECT prompt_key, CASE WHEN prompt_key LIKE 'P%' THEN 'remote ' || prompt_key WHEN prompt_key LIKE 'S%' AND prompt_key NOT LIKE 'STANDARD%' THEN 'other' ELSE 'be brief' END AS text, CAST(CASE WHEN prompt_key LIKE 'L%' OR prompt_key LIKE 'STANDARD%' THEN 2 ELSE 1 END AS INTEGER) AS calls FROM (SELECT DISTINCT p_type AS prompt_key FROM part)")
+def prompt_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys asked twice: found ones and 404s are remembered, failures aren't."""
+    asked: list[str] = []
+
+    def fetch(key: str) -> tuple[int, str | None]:
+        asked.append(key)
+        return _fetch(key)
+
+    source = prompts.RemotePrompts(fetch)
+    wanted = [(r[0], "be brief") for r in _table(spark, sf_dir, "part").select("p_type").distinct().collect()]  # prompt keys
+    source.table(spark, wanted)
+    texts = source.table(spark, wanted)
+    calls = spark.createDataFrame([(k, asked.count(k)) for k, _ in wanted], "prompt_key string, calls int")
+    return texts.join(calls, "prompt_key")
+
+
 # agents
 
 
@@ -578,7 +802,7 @@ class _Length(agents.Agent):
     key, fallback_prompt, schema = "length", "count", T.LongType()
 
     def build_user(self, row: dict) -> str:
-        return f"{row['doc_id']}:{row['n_chars']}"
+        return f"{row['doc_id']}:{row['text'] or ''}"
 
     def parse(self, raw: str) -> int:
         return int(raw)
@@ -588,16 +812,18 @@ class _Length(agents.Agent):
 
 
 def _length_chat(turn: dict) -> str:
-    doc, n = turn["user"].split(":")
+    doc, text = turn["user"].split(":", 1)
     if int(doc) % 7 == 0:
         raise RuntimeError("no answer")
-    return str(int(n) + len(turn["system"]))
+    return str(len(text) + len(turn["system"]))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE n_chars + 5 END AS result FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE length(coalesce(text, '')) + CASE WHEN source IS NOT NULL AND source < 'm' THEN 9 ELSE 5 END END AS result FROM documents")
 def agent_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return _Length().run(docs, _length_chat).select("doc_id", "result")
+    """Over whole texts; sources before "m" have a system prompt of their own."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    own = docs.where("source < 'm'").select(F.lit("length").alias("prompt_key"), F.col("source").alias("client_id"), F.lit("count all").alias("text")).distinct()
+    return _Length().run(docs, _length_chat, own, client="source").select("doc_id", "result")
 
 
 class _Label(agents.BatchAgent):

@@ -1,7 +1,8 @@
-"""Spreadsheets as raw rows through a Python data source, read with the standard library.
+"""Spreadsheets as raw rows, read with the standard library: :func:`read_xlsx`, or as a Python data source.
 
 ``spark.dataSource.register(XlsxDataSource)``, then ``spark.read.format("tidewright_xlsx").option("path", ...)``
-with ``sheet`` for a sheet by name (ignoring case; a missing one raises), else the first. One task per workbook.
+with ``sheet`` for a sheet by name (ignoring case; a missing one raises), else the first. One task per workbook; the data source
+reads paths that all workers see as their own.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -95,8 +97,18 @@ class XlsxDataSource(DataSource):
         return _Reader(self.options)
 
 
-def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None):  # noqa: ANN201
-    """Raw rows of the workbooks at ``path``."""
-    spark.dataSource.register(XlsxDataSource)
-    reader = spark.read.format("tidewright_xlsx").option("path", path)
-    return (reader.option("sheet", sheet) if sheet is not None else reader).load()
+def book_rows(books: DataFrame, sheet: str | None = None) -> DataFrame:
+    """Raw rows of workbooks given as ``path`` and ``content``."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                rows = list(sheet_rows(bytes(content), sheet))
+                yield pd.DataFrame({"source": [path] * len(rows), "row_idx": range(len(rows)), "cells": rows})
+
+    return books.select("path", "content").mapInPandas(read, SCHEMA)
+
+
+def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """Raw rows of the workbooks at ``path``, in any file system that Spark reads."""
+    return book_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path), sheet)
