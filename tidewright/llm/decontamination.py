@@ -36,6 +36,8 @@ WINDOW = 10
 PROXIMITY = 20
 SHARD_BYTES = 4 << 20
 ITEM_BYTES = 4 << 20
+#: places of windows' rarest tokens that are looked at in one go
+PLACES = 1 << 19
 
 
 def varint(values: np.ndarray) -> bytes:
@@ -67,7 +69,7 @@ def _leading(v: np.ndarray) -> np.ndarray:
     return 64 - bits - (w > 0)
 
 
-def unvarint(data: bytes) -> np.ndarray:
+def unvarint(data: bytes | np.ndarray) -> np.ndarray:
     b = np.frombuffer(data, np.uint8)
     if not len(b):
         return np.zeros(0, np.int64)
@@ -209,19 +211,6 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", shard_bytes: int = SHAR
     return Index(written(wide.mapInArrow(run, f"shard long, terms binary, df binary, edges binary, postings binary, doc_ids array<{id_type}>, n_words array<int>")), key)
 
 
-def intersect(lists: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Start positions of a phrase: ``(offset, positions)`` pairs, rarest first."""
-    offset, found = lists[0]
-    found = found - offset
-    for offset, p in lists[1:]:
-        if not len(found):
-            break
-        want = found + offset
-        k = np.searchsorted(p, want)
-        found = found[(k < len(p)) & (p[np.minimum(k, len(p) - 1)] == want)] if len(p) else found[:0]
-    return found
-
-
 def near(lists: list[np.ndarray], width: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Proximity: the tokens' places from which ``width`` words of the same document hold a token of every list; the rarest list first.
 
@@ -249,40 +238,96 @@ def near(lists: list[np.ndarray], width: int, first: np.ndarray, count: np.ndarr
     return s
 
 
-def _matches(row: dict[str, pa.Scalar], plan: Plan, width: int | None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]], list[tuple[int, np.ndarray]]]:
-    """One shard's first words and counts by document, and per window with matches its number and their first words: exact, and near if ``width``."""
+class Shard(NamedTuple):
+    """Postings of a plan's tokens in one shard: ``keys`` are token number times ``reach`` plus word number, all sorted."""
+
+    local: np.ndarray  # per term of the plan its number here, -1: not here; the last, for -1, is -2
+    keys: np.ndarray
+    edges: np.ndarray  # per token where its keys begin, one more at the end
+    reach: int
+    first: np.ndarray  # per document its first word
+    count: np.ndarray
+
+
+def _opened(row: dict[str, pa.Scalar], plan: Plan, margin: int) -> Shard:
     count = row["n_words"].values.to_numpy().astype(np.int64)
     first = np.cumsum(count) - count
+    reach = int(count.sum()) + margin
+    place = _find(np.frombuffer(row["terms"].as_buffer(), "<u8"), plan.terms)
+    have = np.flatnonzero(place >= 0)
+    local = np.full(len(place) + 1, -1)
+    local[have] = np.arange(len(have))
+    local[-1] = -2
     edges = np.concatenate([[0], np.frombuffer(row["edges"].as_buffer(), "<u4")]).astype(np.int64)
-    data = row["postings"].as_buffer()
-    place = np.append(_find(np.frombuffer(row["terms"].as_buffer(), "<u8"), plan.terms), 0)  # the last is for -1
-    open_: dict[int, np.ndarray] = {}
+    begin, end = edges[place[have]], edges[place[have] + 1]
+    data = np.frombuffer(row["postings"].as_buffer(), np.uint8)
+    at = np.repeat(begin, end - begin) + np.arange(int((end - begin).sum())) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin)
+    data = data[at]
+    ends = np.concatenate([[0], np.cumsum(data < 0x80)])
+    cut = ends[np.concatenate([[0], np.cumsum(end - begin)])]
+    total = np.concatenate([[0], np.cumsum(unvarint(data))])
+    keys = total[1:] + np.repeat(np.arange(len(have)) * reach - total[cut[:-1]], np.diff(cut))
+    return Shard(local, keys, cut, reach, first, count)
+
+
+def _exact(shard: Shard, tokens: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, w: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and first words of exact matches: the rarest tokens' places ``a`` intersected with the others' lists, offset-adjusted."""
+    s = a - offsets[w, 0]
+    some = s >= 0
+    w, s = w[some], s[some]
+    d = np.searchsorted(shard.first, s, "right") - 1
+    some = s + lengths[w] <= shard.first[d] + shard.count[d]
+    w, s = w[some], s[some]
+    for j in range(1, tokens.shape[1]):
+        if not len(w):
+            break
+        token = tokens[w, j]
+        key = token * shard.reach + s + offsets[w, j]
+        k = np.minimum(np.searchsorted(shard.keys, key), len(shard.keys) - 1)
+        some = (shard.keys[k] == key) | (token < 0)
+        w, s = w[some], s[some]
+    return w, s
+
+
+def _close(shard: Shard, tokens: np.ndarray, w: np.ndarray, a: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Windows with proximity matches: those with a rarest token that has all others around it are looked at closely."""
+    d = np.searchsorted(shard.first, a, "right") - 1
+    low, high = np.maximum(shard.first[d], a - width + 1), np.minimum(shard.first[d] + shard.count[d], a + width)
+    for j in range(1, tokens.shape[1]):
+        if not len(w):
+            break
+        base = tokens[w, j] * shard.reach
+        some = (np.searchsorted(shard.keys, base + high) > np.searchsorted(shard.keys, base + low)) | (base < 0)
+        w, low, high = w[some], low[some], high[some]
+    for k in np.unique(w).tolist():
+        lists = [shard.keys[shard.edges[t] : shard.edges[t + 1]] - t * shard.reach for t in dict.fromkeys(tokens[k].tolist()) if t >= 0]
+        at = near(lists, width, shard.first, shard.count)
+        if len(at):
+            yield k, at
 
-    def positions(token: int) -> np.ndarray:
-        if token not in open_:
-            k = place[token]
-            open_[token] = np.cumsum(unvarint(data[edges[k] : edges[k + 1]]))
-        return open_[token]
 
+def _matches(row: dict[str, pa.Scalar], plan: Plan, width: int | None) -> tuple[np.ndarray, list[tuple[int, np.ndarray]], list[tuple[int, np.ndarray]]]:
+    """One shard's first words by document, and per window with matches its number and their first words: exact, and near if ``width``."""
+    shard = _opened(row, plan, plan.tokens.shape[1] + (width or 0) + 1)
+    tokens = shard.local[plan.tokens]
+    here = np.flatnonzero((tokens != -1).all(1))
     exact, close = [], []
-    for w in np.flatnonzero((place[plan.tokens] >= 0).all(1)).tolist():
-        n = int(plan.lengths[w])
-        tokens, offsets = plan.tokens[w, :n].tolist(), plan.offsets[w, :n].tolist()
-        at = positions(tokens[0]) - offsets[0]
-        for token, o in zip(tokens[1:], offsets[1:], strict=True):
-            if not len(at):
-                break
-            at = intersect([(0, at), (o, positions(token))])
-        if len(at):
-            d = np.searchsorted(first, at, "right") - 1
-            at = at[(at >= 0) & (at + n <= first[d] + count[d])]
-            if len(at):
-                exact.append((w, at))
+    size = np.diff(shard.edges)[tokens[here, 0]] if len(here) else here
+    upto = np.cumsum(size)
+    at = 0
+    while at < len(here):  # so many places at once
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + PLACES, "right")))
+        own, n = here[at:to], size[at:to]
+        w = np.repeat(own, n)
+        token = tokens[w, 0]
+        a = shard.keys[shard.edges[token] + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)] - token * shard.reach
+        which, start = _exact(shard, tokens, plan.offsets, plan.lengths, w, a)
+        cut = np.flatnonzero(np.diff(which, prepend=-1))
+        exact += list(zip(which[cut].tolist(), np.split(start, cut[1:]), strict=True)) if len(which) else []
         if width:
-            at = near([positions(t) for t in dict.fromkeys(tokens)], width, first, count)
-            if len(at):
-                close.append((w, at))
-    return first, count, exact, close
+            close += list(_close(shard, tokens, w, a, width))
+        at = to
+    return shard.first, exact, close
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Scalar]]:
@@ -304,7 +349,7 @@ def search(index: Index, phrases: list[str], proximity: int | None = None) -> Da
         plan = shared.value
         for b in batches:
             for row in _rows(b):
-                first, _, exact, close = _matches(row, plan, proximity)
+                first, exact, close = _matches(row, plan, proximity)
                 for w, at in exact if proximity is None else close:
                     d = np.searchsorted(first, at, "right") - 1
                     for owner in plan.owner[plan.window == w].tolist():
@@ -326,7 +371,7 @@ def _hits(index: Index, items: list[tuple[str | None, str | None]], window: int,
         plan, owners = shared.value
         for b in batches:
             for row in _rows(b):
-                first, _, exact, close = _matches(row, plan, proximity)
+                first, exact, close = _matches(row, plan, proximity)
                 hits: dict[int, tuple[set[int], set[str], set[str]]] = {}
                 for w, at in exact:
                     d = np.searchsorted(first, at, "right") - 1
