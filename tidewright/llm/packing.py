@@ -4,28 +4,33 @@ Documents are scattered by a seeded hash into buckets small enough for one task'
 text is tokenised whole and ended by the end-of-text id; pieces longer than a sequence are cut into full
 ones and a rest, so nothing is lost; pieces in decreasing length go to the open sequence with
 the least room that fits, found by a segment tree over capacities. A row is one sequence: its
-ids (little-endian 16 bits, padded with the end-of-text id), cumulative segment lengths, position ids that restart with
+ids (little-endian, 16 bits or for larger vocabularies 32, padded with the end-of-text id), cumulative segment lengths, position ids that restart with
 each segment, and where each segment comes from.
 
 Defined results: a null or empty text is the end-of-text id alone; a null id is kept as null; repeated rows are packed
-each; an empty table gives no rows; only the id and the text are read.
+each and spread over buckets; texts of any length are cut, none is dropped; ties in length go by id, then text; an empty table gives no rows; only
+the id and the text are read.
 """
 
 from __future__ import annotations
 
 import base64
+import io
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import path_of
+from .scratch import copies_numbered, path_of, tasks_for
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: rank file of the default tokenizer; the environment names another
+VOCABULARY = os.environ.get("TIDEWRIGHT_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CAPACITY = 2048
 BUCKET_BYTES = 8 << 20
@@ -44,6 +49,11 @@ def tokenizer(path: str = VOCABULARY) -> tuple[object, int]:
     return _loaded[path]
 
 
+def id_kind(largest: int) -> str:
+    """The unsigned type that holds ids up to ``largest``."""
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 class Rooms:
     """Open sequences by room left; a segment tree over 0..capacity finds the least room that fits."""
 
@@ -101,24 +111,27 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
     plain = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text") + F.lit(1))).first()[0] or 1
     buckets = -(-total // bucket_bytes)
-    tagged = plain.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(buckets)))
+    crc = F.crc32(F.col("text").cast("binary"))
+    own = copies_numbered(plain, F.xxhash64("doc_id", crc), "copy")
+    tagged = own.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", crc, F.col("copy")), F.lit(buckets))).repartition(tasks_for(docs, total, buckets), "bucket")
     id_type = plain.schema["doc_id"].dataType.simpleString()
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         encoding, stop = tokenizer(vocabulary)
+        kind = id_kind(stop)
         group = group.take(pa.compute.sort_indices(group, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))  # reruns agree
         tokens, own, begins, lengths = [], [], [], []
         text = group.column("text")
         for i in range(group.num_rows):
-            ids = np.append(encoding.encode_to_numpy(text[i].as_py(), disallowed_special=()), stop).astype("<u2")
+            ids = np.append(encoding.encode_to_numpy(text[i].as_py(), disallowed_special=()), stop).astype(kind)
             for a in range(0, len(ids), capacity):
                 tokens.append(ids[a : a + capacity])
                 own.append(i)
                 begins.append(a)
                 lengths.append(len(tokens[-1]))
         bins = best_fit_decreasing(lengths, capacity)
-        matrix = np.full((len(bins), capacity), stop, "<u2")
-        places = np.zeros((len(bins), capacity), "<u2")
+        matrix = np.full((len(bins), capacity), stop, kind)
+        places = np.zeros((len(bins), capacity), id_kind(capacity))
         cu, used, flat, starts, per = [], [], [], [], [0]
         for k, pieces in enumerate(bins):
             at, edges = 0, [0]
@@ -151,21 +164,23 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
 
 
 def write_matrices(packed: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """One ``.npy`` matrix of 16-bit ids per bucket below ``path`` (a folder all executors share), and per file its name and rows.
+    """One ``.npy`` matrix of ids per bucket below ``path`` (a folder all executors share, of any file system Arrow knows), and per file its name and rows.
 
     A file is written under another name and then renamed, so a repeated or lost task leaves it whole.
     """
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        bucket, root = key[0].as_py(), path.removeprefix("file://")
-        group = group.sort_by("seq")
-        ids = np.frombuffer(b"".join(group.column("ids").to_pylist()), "<u2").reshape(-1, capacity)
-        os.makedirs(root, exist_ok=True)
-        name = os.path.join(root, f"ids-{bucket:08d}.npy")
-        part = f"{name}.{os.getpid()}.part"
-        with open(part, "wb") as f:
-            np.save(f, ids)
-        os.replace(part, name)
+        system, root = pa.fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+        rows = group.sort_by("seq").column("ids").to_pylist()
+        ids = np.frombuffer(b"".join(rows), f"<u{len(rows[0]) // capacity}").reshape(-1, capacity)
+        system.create_dir(root, recursive=True)
+        name = f"{root.rstrip('/')}/ids-{key[0].as_py():08d}.npy"
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        data = io.BytesIO()
+        np.save(data, ids)
+        with system.open_output_stream(part) as f:
+            f.write(data.getvalue())
+        system.move(part, name)
         return pa.table([pa.array([name]), pa.array([len(ids)])], names=["file", "sequences"])
 
     return packed.select("bucket", "seq", "ids").groupBy("bucket").applyInArrow(run, "file string, sequences long")
@@ -176,7 +191,7 @@ def unpacked(rows: Iterator[dict], vocabulary: str = VOCABULARY) -> dict[object,
     encoding, stop = tokenizer(vocabulary)
     parts: dict[object, list[tuple[int, np.ndarray]]] = {}
     for r in rows:
-        ids = np.frombuffer(r["ids"], "<u2")
+        ids = np.frombuffer(r["ids"], id_kind(stop))
         for doc, start, a, b in zip(r["doc_ids"], r["doc_starts"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
             parts.setdefault(doc, []).append((start, ids[a:b]))
     whole = {d: np.concatenate([x for _, x in sorted(p, key=lambda y: y[0])]) for d, p in parts.items()}

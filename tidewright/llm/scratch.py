@@ -7,9 +7,11 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import dropped, numbered, prefix_sums, released, shared_folder, written
+from ..shared import dropped, numbered, prefix_sums, released, shared_folder, unused, written
 
-__all__ = ["dropped", "numbered", "path_of", "prefix_sums", "released", "row_key", "shared_folder", "unused", "written"]
+TASK_BYTES = 64 << 20
+
+__all__ = ["copies_numbered", "dropped", "numbered", "path_of", "prefix_sums", "released", "row_key", "shared_folder", "tasks_for", "unused", "written"]
 
 
 def path_of(sf_dir: str, table: str) -> str:
@@ -23,9 +25,22 @@ def row_key() -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """A column name like ``name`` that no column of ``df`` has in any case."""
-    have = {c.lower() for c in df.columns}
-    while name.lower() in have:
-        name += "_"
-    return name
+def copies_numbered(df: DataFrame, key: Column, name: str) -> DataFrame:
+    """``df`` with the number of each row among its equals as ``name``, so that a hash over it spreads a row however often repeated.
+
+    Only rows whose 64-bit ``key`` repeats are looked at: those are counted, copies being merged before the shuffle, and told apart again.
+    """
+    digest = unused(df, "digest")
+    keyed = df.withColumn(digest, key)
+    many = written(keyed.groupBy(digest).count().where("count > 1").select(digest))
+    if not many.limit(1).count():
+        return df.withColumn(name, F.lit(0).cast("long"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    alone = keyed.join(many, digest, "left_anti").select(*columns, F.lit(0).cast("long").alias(name))
+    counted = keyed.join(many, digest, "left_semi").groupBy(*columns).agg(F.count("*").alias(name))
+    return alone.unionByName(counted.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))))
+
+
+def tasks_for(df: DataFrame, total: int, buckets: int) -> int:
+    """Tasks that buckets of ``total`` bytes are dealt to: as many as Spark's setting, more where one would get over ``TASK_BYTES``."""
+    return min(buckets, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES)))

@@ -6,8 +6,8 @@ stream, dealt to the shards in turn, so that shard row counts differ by at most
 (law ``rows``).
 
 Defined results: a null text has no bytes and CRC 0; equal rows stay rows of their own; a null id
-hashes like any value; an empty table gives no rows; all other columns are carried along, and
-columns named like the ones added (in any case) are replaced by them, those starting with ``_tw_`` dropped.
+hashes like any value; repeated rows are spread over buckets; texts of any length are one record; an empty table gives no rows; all other
+columns are carried along, whatever their names, but for those named like the ones added (in any case), which are replaced by them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import path_of, prefix_sums, written
+from .scratch import copies_numbered, path_of, prefix_sums, tasks_for, unused, written
 
 SHARDS = 8
 SEED = 20_240_501
@@ -39,32 +39,35 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
 
 def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``shard``, ``slot`` (gapless in the shard from 0) and ``stream_pos``."""
-    keep = [c for c in docs.columns if c.lower() not in ADDED and not c.startswith("_tw_")]
+    keep = [f"`{c}`" for c in docs.columns if c.lower() not in ADDED]
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     sized = docs.select(*keep).withColumn("size", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long") + 1).withColumn("text_crc32", crc)
     total = sized.agg(F.sum("size")).first()[0] or 1
     buckets = -(-total // bucket_bytes)
-    tagged = sized.withColumn("_tw_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_crc32")), F.lit(buckets)))
-    counts = prefix_sums(tagged.groupBy("_tw_bucket").count(), [F.col("_tw_bucket")], {"upto": "count"})
-    offsets = written(counts.select("_tw_bucket", (F.col("upto") - F.col("count")).cast("long").alias("_tw_offset")))
+    bucket, offset, copy = unused(sized, "bucket"), unused(sized, "offset"), unused(sized, "copy")
+    own = copies_numbered(sized, F.xxhash64("doc_id", "text_crc32"), copy)
+    tagged = own.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_crc32"), F.col(copy)), F.lit(buckets)))
+    counts = prefix_sums(tagged.groupBy(F.col(bucket).alias("bucket")).count(), [F.col("bucket")], {"upto": "count"})
+    offsets = written(counts.select(F.col("bucket").alias(bucket), (F.col("upto") - F.col("count")).cast("long").alias(offset)))
     schema = T.StructType([*sized.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("stream_pos", T.LongType())])
     names = sized.columns
 
     def permute(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        bucket, n = key[0].as_py(), group.num_rows
+        n = group.num_rows
         # rows arrive in any order: sort by content first, so that reruns agree
-        order = pa.compute.sort_indices(group, sort_keys=[("doc_id", "ascending"), ("text_crc32", "ascending"), ("size", "ascending")])
-        group = group.take(order).take(pa.array(fisher_yates(n, seed * 1_000_003 + bucket)))
-        at = group.column("_tw_offset").to_numpy() + np.arange(n)
+        order = pa.compute.sort_indices(group, sort_keys=[("doc_id", "ascending"), ("text_crc32", "ascending"), (copy, "ascending"), ("size", "ascending")])
+        group = group.take(order).take(pa.array(fisher_yates(n, seed * 1_000_003 + key[0].as_py())))
+        at = group.column(offset).to_numpy() + np.arange(n)
         return pa.table([*[group.column(c) for c in names], pa.array((at % shards).astype(np.int32)), pa.array(at // shards), pa.array(at)], names=[*names, "shard", "slot", "stream_pos"])
 
-    joined = tagged.join(offsets, "_tw_bucket")
-    return joined.groupBy("_tw_bucket").applyInArrow(permute, schema)
+    joined = tagged.join(offsets, bucket).repartition(tasks_for(docs, total, buckets), F.col(bucket))
+    return joined.groupBy(bucket).applyInArrow(permute, schema)
 
 
-def write_shards(shuffled: DataFrame, path: str) -> None:
-    """One folder per shard, rows in slot order within each file."""
-    shuffled.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(shuffled: DataFrame, path: str) -> DataFrame:
+    """Write one folder per shard, each task its buckets' rows as they come, in slot order within a file; the shards read back."""
+    shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return shuffled.sparkSession.read.schema(shuffled.schema).parquet(path).select(*[f"`{c}`" for c in shuffled.columns])
 
 
 def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
