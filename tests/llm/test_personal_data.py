@@ -93,6 +93,10 @@ def test_find_is_added_spans_without_the_gate():
     assert min(found) > 40
 
 
+def test_plain_spans_are_not_lengthened():
+    assert next(pd_.find(pa.array(["évi ouvi. +1 (848) 555-1373 Un an"]))) == ([(10, 3, 27)], [])
+
+
 @pytest.mark.parametrize("text", ["a" * 300 + " (at) example (dot) com", "card 4111.1111.1111.1111 ok", "call +49/30/1234567890 now", ".".join(["word"] * 200) + " (at) example (dot) com", "bo -dot-smith (at) host.com"])
 def test_spans_of_any_length_and_alone(text):
     base, added = next(pd_.find(pa.array([f"x; {text}"])))

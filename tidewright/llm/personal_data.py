@@ -7,8 +7,9 @@ character it came from; over its output, grammars accept spelled digits and word
 plain. Only texts whose bytes allow a disguise (:func:`traces` admits all that the grammars accept) go through the
 transducer.
 
-Defined results: a null or empty text has no spans; spans are code points, end exclusive; equal rows get
-equal results; an empty table gives no rows; only the id and the text are read, and :func:`redacted` carries all
+Defined results: a null or empty text has no spans; spans are code points, end exclusive; spans of different kinds may
+overlap, and of added ones of a kind the earliest, then longest, covers those within it; texts of any length are searched whole, in time in proportion;
+equal rows get equal results; an empty table gives no rows; only the id and the text are read, and :func:`redacted` carries all
 columns.
 """
 
@@ -227,7 +228,7 @@ def added_spans(text: str, known: list[Span]) -> list[Span]:
     for s, k, e in sorted(set(found), key=lambda x: (x[1], x[0], -x[2])):
         if (s, k, e) in have or _PLAIN[KINDS[k]].fullmatch(text, s, e) or any(o[1] == k and o[0] <= s and e <= o[2] for o in out[-1:]):
             continue
-        if any(o[1] == k and o[0] <= s and e <= o[2] for o in known):
+        if any(o[1] == k and (o[0] <= s and e <= o[2] or o[0] == s) for o in known):  # a plain one isn't lengthened by a word for a digit after it
             continue
         out.append((s, k, e))
     return out
@@ -358,7 +359,7 @@ def joined(spans: list[Span]) -> str:
 
 
 def identifiers(docs: DataFrame) -> DataFrame:
-    """Per document: counts per kind, ``base_sha256``, ``spans`` (all), and ``n_added``."""
+    """Per document: counts per kind, ``base_sha256``, ``spans`` (all), ``n_added``, and ``n_total`` of all kinds."""
     wb.small_batches(docs.sparkSession)
     wide = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
@@ -377,7 +378,8 @@ def identifiers(docs: DataFrame) -> DataFrame:
                 names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"],
             )
 
-    return wide.mapInArrow(run, f"doc_id {wide.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    found = wide.mapInArrow(run, f"doc_id {wide.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return found.withColumn("n_total", sum((F.col(f"n_{k}") for k in KINDS[1:]), F.col(f"n_{KINDS[0]}")))
 
 
 def redacted_text(text: str | None) -> str | None:
