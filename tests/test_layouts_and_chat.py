@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewright import shared
 from tidewright.operators import agents, chat, ocr, prompts
 from tidewright.shared import numbered
 
@@ -242,3 +243,15 @@ def test_long_pages_are_masked_in_linear_time(spark):
     began = time.time()
     got = spark.createDataFrame([(text,)], "t string").select(ocr.masked("t", words).alias("m")).first()["m"].split(" ")
     assert len(got) == 60_000 and got[7] == "[?]" and got[8] == "w8" and time.time() - began < 60
+
+
+def test_tables_made_on_the_way_are_deleted(spark, tmp_path):
+    df = spark.range(10).repartition(2)
+    with shared.tidied(spark):
+        inner = shared.written(df)
+        numbered(inner, [F.col("id")], "n").write.parquet(f"{tmp_path}/kept")
+        path = inner._tw_path
+        assert spark.read.parquet(path).count() == 10
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    assert spark.read.parquet(f"{tmp_path}/kept").count() == 10

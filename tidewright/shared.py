@@ -6,14 +6,18 @@ by ``spark.checkpoint.dir`` (all executors share it, so a lost executor loses no
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: str | None = None
+#: paths of the tables made within each open :func:`tidied`
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +45,8 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tw-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tw_path = path
@@ -50,10 +56,25 @@ def written(df: DataFrame) -> DataFrame:
 def dropped(*frames: DataFrame) -> None:
     """Delete tables made by :func:`written` that no live plan reads any more."""
     for df in frames:
-        path = getattr(df, "_tw_path", None)
-        if path:
-            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(df, "_tw_path", None):
+            deleted(df.sparkSession, path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving all tables that :func:`written` made on the way; what they were made for must be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            deleted(spark, path)
 
 
 def released(spark: SparkSession) -> None:
