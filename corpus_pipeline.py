@@ -16,7 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import decontamination, mixing, neardup, sharding, toxicity
-from tidewright.llm.scratch import path_of, shared_folder
+from tidewright.llm.scratch import path_of
+from tidewright.shared import deleted, shared_folder, tidied
 
 
 def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +55,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(path_of(sf_dir, "documents"))
+    """The stages one after the other; a stage's input and its tables on the way are deleted once its result is written."""
+    docs, before = spark.read.parquet(path_of(sf_dir, "documents")), None
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with tidied(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            deleted(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
 
 
