@@ -39,7 +39,7 @@ INPUT = sum(WIDTHS.values())
 GATES = 3 * HIDDEN
 #: bytes of a piece, and between the starts of pieces: every 5-gram lies in one
 PIECE, PIECE_STEP = 12, 8
-PRIOR = 8.0
+PRIOR = 32.0
 STEP_ROWS = 8192
 BATCH = 128
 #: from so many labelled documents on, a quarter of them is set aside for the calibration
