@@ -27,7 +27,7 @@ import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import copies_numbered, path_of, tasks_for
+from .scratch import copies_numbered, dealt, path_of, small
 
 #: rank file of the default tokenizer; the environment names another
 VOCABULARY = os.environ.get("TIDEWRIGHT_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -113,7 +113,9 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
     buckets = -(-total // bucket_bytes)
     crc = F.crc32(F.col("text").cast("binary"))
     own = copies_numbered(plain, F.xxhash64("doc_id", crc), "copy")
-    tagged = own.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", crc, F.col("copy")), F.lit(buckets))).repartition(tasks_for(docs, total, buckets), "bucket")
+    tagged = own.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", crc, F.col("copy")), F.lit(buckets)))
+    places, tasks = dealt(docs.sparkSession, total, buckets)
+    tagged = tagged.join(small(places, buckets), "bucket").repartition(tasks, "task")
     id_type = plain.schema["doc_id"].dataType.simpleString()
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -152,13 +154,13 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
         n = len(bins)
         return pa.table(
             [
-                pa.array(np.full(n, key[0].as_py())), pa.array(np.arange(n)), pa.array(used, pa.int32()), pa.array([r.tobytes() for r in matrix], pa.binary()), pa.array(cu, pa.list_(pa.int32())),
+                pa.array(np.full(n, key[1].as_py())), pa.array(np.arange(n)), pa.array(used, pa.int32()), pa.array([r.tobytes() for r in matrix], pa.binary()), pa.array(cu, pa.list_(pa.int32())),
                 pa.array([r.tobytes() for r in places], pa.binary()), lists(ids), lists(pa.array(starts, pa.int64())),
             ],
             names=["bucket", "seq", "n_tokens", "ids", "cu_seqlens", "positions", "doc_ids", "doc_starts"],
         )
 
-    return tagged.groupBy("bucket").applyInArrow(
+    return tagged.groupBy("task", "bucket").applyInArrow(
         run, f"bucket long, seq long, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<{id_type}>, doc_starts array<long>"
     )
 

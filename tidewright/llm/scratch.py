@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import dropped, numbered, prefix_sums, released, shared_folder, unused, written
 
 TASK_BYTES = 64 << 20
+BROADCAST_ROWS = 2_000_000
 
-__all__ = ["copies_numbered", "dropped", "numbered", "path_of", "prefix_sums", "released", "row_key", "shared_folder", "tasks_for", "unused", "written"]
+__all__ = ["copies_numbered", "dealt", "dropped", "numbered", "path_of", "prefix_sums", "released", "row_key", "shared_folder", "small", "unused", "written"]
 
 
 def path_of(sf_dir: str, table: str) -> str:
@@ -41,6 +42,18 @@ def copies_numbered(df: DataFrame, key: Column, name: str) -> DataFrame:
     return alone.unionByName(counted.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))))
 
 
-def tasks_for(df: DataFrame, total: int, buckets: int) -> int:
-    """Tasks that buckets of ``total`` bytes are dealt to: as many as Spark's setting, more where one would get over ``TASK_BYTES``."""
-    return min(buckets, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES)))
+def dealt(spark: SparkSession, total: int, buckets: int) -> tuple[DataFrame, int]:
+    """``bucket`` and ``task`` for buckets that hold ``total`` bytes, and how many tasks: as many as Spark's setting, more where one would get over ``TASK_BYTES``.
+
+    Buckets are dealt to tasks in turn: ``task`` is a number whose hash partition among so many is the bucket's.
+    """
+    n = min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES)))
+    numbers = spark.range(16 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).cast("long").alias("place")).agg(F.min("id").alias("task"))
+    table = spark.range(buckets).select(F.col("id").alias("bucket"), (F.col("id") % n).alias("place")).join(numbers, "place", "left")
+    table = table.select("bucket", F.coalesce("task", "place").alias("task"))
+    return table, n
+
+
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of few columns to be broadcast if its rows are few enough."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table

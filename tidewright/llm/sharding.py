@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import copies_numbered, path_of, prefix_sums, tasks_for, unused, written
+from .scratch import copies_numbered, dealt, path_of, prefix_sums, small, unused, written
 
 SHARDS = 8
 SEED = 20_240_501
@@ -44,24 +44,26 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     sized = docs.select(*keep).withColumn("size", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long") + 1).withColumn("text_crc32", crc)
     total = sized.agg(F.sum("size")).first()[0] or 1
     buckets = -(-total // bucket_bytes)
-    bucket, offset, copy = unused(sized, "bucket"), unused(sized, "offset"), unused(sized, "copy")
+    bucket, offset, copy, task = (unused(sized, c) for c in ("bucket", "offset", "copy", "task"))
     own = copies_numbered(sized, F.xxhash64("doc_id", "text_crc32"), copy)
     tagged = own.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_crc32"), F.col(copy)), F.lit(buckets)))
     counts = prefix_sums(tagged.groupBy(F.col(bucket).alias("bucket")).count(), [F.col("bucket")], {"upto": "count"})
-    offsets = written(counts.select(F.col("bucket").alias(bucket), (F.col("upto") - F.col("count")).cast("long").alias(offset)))
+    places, tasks = dealt(docs.sparkSession, total, buckets)
+    counts = counts.join(places, "bucket")
+    offsets = written(counts.select(F.col("bucket").alias(bucket), F.col("task").alias(task), (F.col("upto") - F.col("count")).cast("long").alias(offset)))
     schema = T.StructType([*sized.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("stream_pos", T.LongType())])
     names = sized.columns
 
     def permute(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        n = group.num_rows
+        number, n = key[1].as_py(), group.num_rows
         # rows arrive in any order: sort by content first, so that reruns agree
         order = pa.compute.sort_indices(group, sort_keys=[("doc_id", "ascending"), ("text_crc32", "ascending"), (copy, "ascending"), ("size", "ascending")])
-        group = group.take(order).take(pa.array(fisher_yates(n, seed * 1_000_003 + key[0].as_py())))
+        group = group.take(order).take(pa.array(fisher_yates(n, seed * 1_000_003 + number)))
         at = group.column(offset).to_numpy() + np.arange(n)
         return pa.table([*[group.column(c) for c in names], pa.array((at % shards).astype(np.int32)), pa.array(at // shards), pa.array(at)], names=[*names, "shard", "slot", "stream_pos"])
 
-    joined = tagged.join(offsets, bucket).repartition(tasks_for(docs, total, buckets), F.col(bucket))
-    return joined.groupBy(bucket).applyInArrow(permute, schema)
+    joined = tagged.join(small(offsets, buckets), bucket).repartition(tasks, F.col(task))
+    return joined.groupBy(task, bucket).applyInArrow(permute, schema)
 
 
 def write_shards(shuffled: DataFrame, path: str) -> DataFrame:
