@@ -112,7 +112,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
     total = plain.agg(F.sum(F.octet_length("text") + F.lit(1))).first()[0] or 1
     buckets = -(-total // bucket_bytes)
     crc = F.crc32(F.col("text").cast("binary"))
-    own = copies_numbered(plain, F.xxhash64("doc_id", crc), "copy")
+    own = copies_numbered(plain, F.xxhash64("doc_id", crc), F.octet_length("text") + F.lit(1), total, bucket_bytes // 8, "copy")
     tagged = own.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", crc, F.col("copy")), F.lit(buckets)))
     places, tasks = dealt(docs.sparkSession, total, buckets)
     tagged = tagged.join(small(places, buckets), "bucket").repartition(tasks, "task")

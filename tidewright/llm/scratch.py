@@ -26,16 +26,18 @@ def row_key() -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
-def copies_numbered(df: DataFrame, key: Column, name: str) -> DataFrame:
+def copies_numbered(df: DataFrame, key: Column, size: Column, total: int, most: int, name: str) -> DataFrame:
     """``df`` with the number of each row among its equals as ``name``, so that a hash over it spreads a row however often repeated.
 
-    Only rows whose 64-bit ``key`` repeats are looked at: those are counted, copies being merged before the shuffle, and told apart again.
+    Rows are told apart where those of one 64-bit ``key`` have over ``most`` of the ``total`` bytes: such rows are counted, copies being merged before
+    the shuffle, and unfolded again. All others have number 0.
     """
-    digest = unused(df, "digest")
+    digest, bytes_ = unused(df, "digest"), "bytes"
     keyed = df.withColumn(digest, key)
-    many = written(keyed.groupBy(digest).count().where("count > 1").select(digest))
+    many = written(keyed.select(F.col(digest), size.alias(bytes_)).groupBy(digest).agg(F.sum(bytes_).alias(bytes_)).where(F.col(bytes_) > most).select(digest))
     if not many.limit(1).count():
         return df.withColumn(name, F.lit(0).cast("long"))
+    many = small(many, -(-total // most))  # no more keys can have so many bytes each
     columns = [F.col(f"`{c}`") for c in df.columns]
     alone = keyed.join(many, digest, "left_anti").select(*columns, F.lit(0).cast("long").alias(name))
     counted = keyed.join(many, digest, "left_semi").groupBy(*columns).agg(F.count("*").alias(name))

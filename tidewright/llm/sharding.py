@@ -45,7 +45,7 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     total = sized.agg(F.sum("size")).first()[0] or 1
     buckets = -(-total // bucket_bytes)
     bucket, offset, copy, task = (unused(sized, c) for c in ("bucket", "offset", "copy", "task"))
-    own = copies_numbered(sized, F.xxhash64("doc_id", "text_crc32"), copy)
+    own = copies_numbered(sized, F.xxhash64("doc_id", "text_crc32"), F.col("size"), total, bucket_bytes // 8, copy)
     tagged = own.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_crc32"), F.col(copy)), F.lit(buckets)))
     counts = prefix_sums(tagged.groupBy(F.col(bucket).alias("bucket")).count(), [F.col("bucket")], {"upto": "count"})
     places, tasks = dealt(docs.sparkSession, total, buckets)
