@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordblocks as wb
-from .scratch import dropped, path_of, written
+from .scratch import dropped, path_of, released, written
 
 WINDOW = 32
 STRIDE = 16
@@ -275,6 +275,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 120, seed: int = 3) ->
     rng = np.random.default_rng(seed)
     p = initial(rng)
     feats, ptr = _read(texts)
+    wb.trimmed()
     aside = (np.arange(len(y)) % 4 == 3) & (len(y) >= ASIDE)  # for the calibration
     rate = y.mean()
     for k in WIDTHS:
@@ -374,6 +375,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     found = of(near, 1, sample).unionByName(of(near, 0, sample))
     got = sorted({(r[0], r[1], r[2]) for r in found.select("doc_id", "toxic", "text").collect()})
     share = rows.agg(F.avg("toxic")).first()[0]
+    released(docs.sparkSession)  # the driver's JVM gives memory back before the network takes it
+    wb.trimmed()
     p = fit([r[2] for r in got], [r[1] for r in got])
     if "calibration" in p and share and 0 < share < 1:  # the sample's classes are balanced otherwise than the labels'
         own = sum(r[1] for r in got) / len(got)
