@@ -125,3 +125,49 @@ def test_crowded_buckets_are_compared_whole(spark, words, monkeypatch, block):
     got = {(r["doc_id"], r["component_id"]) for r in groups.collect()}
     want = {(d, c) for d, _, c, _ in neardup.brute_force(list(enumerate(texts)))}
     assert len(got - want) <= 2  # a pair may share none of three bands
+
+
+def test_a_shared_phrase_is_no_candidate(spark, words):
+    """Short texts with one phrase in common share no bucket by it alone; before, 27,867 pairs did."""
+    rng = random.Random(21)
+    texts = [" ".join([*rng.choices(words, k=12), "under", "this", "licence", *rng.choices(words, k=12)]) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bands = neardup._bands(neardup.sketch(docs, 5)).groupBy("band").count()
+    assert sum(r["count"] * (r["count"] - 1) // 2 for r in bands.collect()) < 400
+
+
+def test_a_bucket_of_variants_passes_a_pair_each(spark, words):
+    """Variants of a text that are all likely pairs: as many pairs as connect them, not the 1,711 of before."""
+    rng = random.Random(22)
+    base = rng.choices(words, k=300)
+    docs = spark.createDataFrame([(k, " ".join([*base, f"id{k}"])) for k in range(60)], "doc_id long, text string")
+    classes = neardup.sketch(docs, 5).cache()
+    placed = classes.selectExpr("64L AS band", "cls", "cls AS root")
+    pairs = [(bytes(r["a"]), bytes(r["b"])) for r in neardup._across(placed, classes).collect()]
+    assert len(pairs) == 59
+    near = {pairs[0][0]}
+    for _ in pairs:
+        near |= {x for p in pairs if near & {*p} for x in p}
+    assert len(near) == 60
+
+
+def test_joined_connects_what_links_connect(words):
+    texts = near_texts(words)
+    random.Random(3).shuffle(texts)
+    sets = list(neardup.full_sets(pa.array(texts), 9))
+    found = neardup.joined(sets)
+    root = list(range(len(sets)))
+    for a, b in found:
+        assert neardup.linked(sets[a], sets[b]) and root[a] != root[b]  # no pair twice, none that others connect
+        root = [root[b] if r == root[a] else r for r in root]
+    want = [c for _, _, c, _ in neardup.brute_force(list(enumerate(texts)))]
+    assert len(set(zip(root, want, strict=True))) == len(set(root)) == len(set(want))
+
+
+def test_filled_registers_agree_as_sets_do():
+    rng = np.random.default_rng(6)
+    h = rng.integers(0, 2**64, (300, 34), np.uint64)
+    of = lambda part: neardup.filled(np.array([neardup.registers(np.sort(x)) for x in part]))
+    a, b = of(h[:, :32]), of(h[:, 2:])
+    assert a.all() and abs((a == b).mean() - 30 / 34) < 0.01
+    assert not neardup.filled(np.zeros((1, 256), np.uint8)).any()

@@ -4,13 +4,17 @@ Each document's set of three-word shingles becomes 256 registers of 16 bits, the
 of the smallest hash in the register's bucket and the ten bits that follow. Documents with equal
 sets are one class from there on. Bands of registers (folded to 8 bits) propose pairs of classes, the
 collision-corrected Jaccard estimate sorts out most, and full sets, compared word by word, confirm the rest. Words are hashed under a
-key drawn for each run, so texts can't be made to collide.
+key drawn for each run, so texts can't be made to collide. For the bands alone, empty registers are filled from
+others in an order fixed for each; else short texts with one shingle in common would share every band that it fills alone.
 
-A bucket of a band is never expanded into all its pairs. First its members are compared with the
-bucket's least class. Links found so merge most buckets into one component; where a
-bucket still has several, every class outside its largest component is compared with all classes of other
-components, in cells of at most ``BLOCK`` by ``BLOCK`` classes spread over tasks; of the bands that two classes share the first alone
-passes their pair on. So every pair that shares a bucket is either linked through its component or compared.
+A bucket of a band is never expanded into all its pairs. First the estimate is made of its members and the
+bucket's least class. Likely pairs merge most buckets into one cluster; where a
+bucket still has several, every class outside its largest cluster is estimated against the classes of other
+clusters, in cells of at most ``BLOCK`` by ``BLOCK`` classes spread over tasks, which merge clusters as they go. So every likely pair that
+shares a bucket is in one cluster.
+
+The full sets of a cluster meet in cells of two blocks of about ``CHUNK`` shingles, where all that are not linked already
+are compared by an index of their shingles.
 
 Defined results: null and empty texts have no shingles and are groups of their own; one or two
 words are one shingle; repeated rows are linked; a null id never is a group's least unless all are
@@ -46,8 +50,10 @@ SLACK = 5.0
 #: expected share of equal registers among unrelated sets, times 2^MANTISSA
 COLLISION = 0.169919487159739
 BLOCK = 2048
-#: shingles that are checked against one set in one go
-CHUNK = 400_000
+#: shingles of a block of full sets
+CHUNK = 800_000
+#: the registers that each empty one is filled from, the first that isn't empty
+_SOURCES = np.random.RandomState(8).rand(REGISTERS, REGISTERS).argsort(0)
 
 
 def _hashed(h: np.ndarray) -> np.ndarray:
@@ -138,6 +144,19 @@ def folded(sig: np.ndarray) -> np.ndarray:
     return np.where(sig == 0, 0, (sig.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(24)) % 255 + 1).astype(np.uint8)
 
 
+def filled(x: np.ndarray) -> np.ndarray:
+    """Rows of registers with others in place of the empty ones: two sets' agree as often as their non-empty ones do."""
+    out = x.copy()
+    row, at = np.nonzero(x == 0)
+    for source in _SOURCES:
+        if not len(row):
+            break
+        v = x[row, source[at]]
+        out[row, at] = v
+        row, at = row[v == 0], at[v == 0]
+    return out
+
+
 def likely_folded(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """As :func:`likely` on folded registers, of which unrelated ones agree by chance in 1 of 255."""
     at = SIMILARITY / 100
@@ -166,33 +185,33 @@ def linked(a: Full, b: Full) -> bool:
 
 
 def sketch(docs: DataFrame, secret: int = 0) -> DataFrame:
-    """Per document: ``doc_id``, ``n`` (set size), ``cls`` (128-bit digest of its set), ``key`` of the row, ``sig``, ``mini``."""
+    """Per document: ``doc_id``, ``n`` (set size), ``cls`` (128-bit digest of its set), ``key`` of the row, ``sig``, ``mini``, ``dense`` (filled ``mini``)."""
     wide = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), row_key().alias("key"))
     id_type = wide.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in wb.blocks(batches, limit=1 << 21):
-            n, cls, sig, mini = [], [], [], []
+            n, cls, sig = [], [], []
             for s in text_sets(block.column(1), secret):
                 n.append(len(s))
                 cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                r = registers(s)
-                sig.append(r.tobytes())
-                mini.append(folded(r).tobytes())
+                sig.append(registers(s))
+            mini = folded(np.array(sig))
+            rows = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
             yield pa.record_batch(
-                [block.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), block.column(2), pa.array(sig, pa.binary()), pa.array(mini, pa.binary())],
-                names=["doc_id", "n", "cls", "key", "sig", "mini"],
+                [block.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), block.column(2), rows(sig), rows(mini), rows(filled(mini))],
+                names=["doc_id", "n", "cls", "key", "sig", "mini", "dense"],
             )
 
-    return wide.mapInArrow(run, f"doc_id {id_type}, n long, cls binary, key binary, sig binary, mini binary")
+    return wide.mapInArrow(run, f"doc_id {id_type}, n long, cls binary, key binary, sig binary, mini binary, dense binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """``cls`` and ``band``, of which the six lowest bits are the band's number."""
-    empty = F.lit(bytes(ROWS))
-    one = lambda i: F.substring("mini", 1 + i * ROWS, ROWS)
-    keys = F.array(*[F.when(one(i) != empty, F.shiftleft(F.xxhash64(F.lit(i), one(i)), 6).bitwiseOR(F.lit(i))) for i in range(BANDS)])
-    return classes.select("cls", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("band"))
+    """``cls`` and ``band``, of which the six lowest bits are the band's number, of the classes large enough to be linked to another."""
+    one = lambda i: F.substring("dense", 1 + i * ROWS, ROWS)
+    keys = F.array(*[F.shiftleft(F.xxhash64(F.lit(i), one(i)), 6).bitwiseOR(F.lit(i)) for i in range(BANDS)])
+    able = classes.where(F.col("n") * 100 >= SIMILARITY * (F.col("n") + 1))
+    return able.select("cls", F.explode(keys).alias("band"))
 
 
 def _minis(column: pa.ChunkedArray) -> np.ndarray:
@@ -223,77 +242,101 @@ def _likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, secret: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked. Members meet their ``a`` in chunks of about ``CHUNK`` shingles."""
-    sized = pairs.join(classes.select(F.col("cls").alias("b"), "n", "key"), "b")
-    load = pairs.join(classes.select(F.col("cls").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("load"))
-    cells = sized.join(load, "a").withColumn("cell", F.pmod(F.xxhash64("b"), F.ceil(F.col("load") / CHUNK).cast("long")))
-    heads = cells.select("a", "cell").distinct().join(classes.select(F.col("cls").alias("a"), "key"), "a")
-    needs = cells.select("a", "cell", F.col("b").alias("cls"), "key").unionByName(heads.select("a", "cell", F.col("a").alias("cls"), "key"))
-    texts = docs.select(row_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    texts = texts.join(needs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    rows = texts.join(needs, "key").select("a", "cell", "cls", "text")
-
-    def check(_key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        a = group.column("a")[0].as_py()
-        names = group.column("cls").to_pylist()
-        home = names.index(a)
-        own = next(full_sets(group.column("text").slice(home, 1).combine_chunks(), secret))
-        good, at = [], 0
-        for chunk in group.column("text").chunks:
-            for block in wb.blocks([pa.record_batch([chunk], names=["text"])]):
-                for s in full_sets(block.column(0), secret):
-                    if at != home and linked(own, s):
-                        good.append(names[at])
-                    at += 1
-        return pa.table([pa.array([a] * len(good), pa.binary()), pa.array(good, pa.binary())], names=["a", "b"])
-
-    return rows.groupBy("a", "cell").applyInArrow(check, "a binary, b binary")
-
-
 def _across(placed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs between different components of a bucket: its lesser components against all, in cells; each pair once.
+    """Likely pairs (a, b) that join all clusters of a bucket with a likely pair between them: its lesser clusters against all, in cells.
 
-    ``placed`` has ``band``, ``cls`` and ``root``, its component's.
+    ``placed`` has ``band``, ``cls`` and ``root``, its cluster's. Of buckets of two the pair has been estimated.
     """
     per = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("band").agg(F.sum("c").alias("members"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = per.groupBy("band").agg(F.sum("c").alias("members"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1 and members > 2")
     mixed = mixed.select("band", F.col("most.root").alias("main"), F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"), F.ceil((F.col("members") - F.col("most.c")) / BLOCK).cast("long").alias("parts"))
     full = placed.join(mixed, "band").join(classes.select("cls", "n", "mini"), "cls")
     full = full.withColumn("minor", F.col("root") != F.col("main")).withColumn("at", F.xxhash64("cls"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ("band", "block", "part", "lesser", "minor", "cls", "root", "n", "mini")
+    columns = ("band", "block", "part", "lesser", "cls", "root", "n", "mini")
     held = full.withColumn("block", F.pmod("at", "blocks")).withColumn("part", each("parts")).withColumn("lesser", F.lit(False)).select(*columns)
     sent = full.where("minor").withColumn("part", F.pmod("at", "parts")).withColumn("block", each("blocks")).withColumn("lesser", F.lit(True)).select(*columns)
 
-    def compare(key: tuple[pa.Scalar, ...], g: pa.Table) -> pa.Table:
-        band, wide = key[0].as_py() & 63, BANDS * ROWS
-        lesser, minor = g.column("lesser").to_numpy(), g.column("minor").to_numpy()
-        n, sig = g.column("n").to_numpy(), _minis(g.column("mini"))
-        names = g.column("cls").to_pylist()
-        root = g.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+    def compare(_key: tuple[pa.Scalar, ...], g: pa.Table) -> pa.Table:
+        lesser, n, sig = g.column("lesser").to_numpy(), g.column("n").to_numpy(), _minis(g.column("mini"))
+        names = g.column("cls")
+        label = g.column("root").combine_chunks().dictionary_encode().indices.to_numpy().copy()
         inner = np.flatnonzero(~lesser)
         inner = inner[np.argsort(n[inner], kind="stable")]
-        sizes, origin = n[inner], root[inner]
+        sizes = n[inner]
         a, b = [], []
         for i in np.flatnonzero(lesser).tolist():
             low = int(np.searchsorted(sizes * 100, n[i] * SIMILARITY))
             high = int(np.searchsorted(sizes * SIMILARITY, n[i] * 100, "right"))
-            other = inner[low:high][origin[low:high] != root[i]]
+            other = inner[low:high][label[inner[low:high]] != label[i]]
             if len(other):
                 other = other[likely_folded(sig[other], sig[i][None, :])]
-            if len(other):
-                both = (sig[other, :wide] == sig[i, :wide]).reshape(-1, BANDS, ROWS).all(2) & (sig[i, :wide] != 0).reshape(BANDS, ROWS).any(1)
-                for j in other[both.argmax(1) == band].tolist():
-                    if not minor[j] or names[i] < names[j]:  # of two lesser ones one sees the pair
-                        x, y = sorted((names[i], names[j]))
-                        a.append(x)
-                        b.append(y)
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            for j in other.tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    a.append(i)
+                    b.append(j)
+        return pa.table([names.take(pa.array(a, pa.int64())), names.take(pa.array(b, pa.int64()))], names=["a", "b"])
 
     return held.unionByName(sent).groupBy("band", "block", "part").applyInArrow(compare, "a binary, b binary")
 
 
+def joined(sets: list[Full]) -> list[tuple[int, int]]:
+    """Linked pairs that connect all sets which links connect.
+
+    Every set outside the largest component is counted against all, by an index of the shingles; pairs linked by their hashes are compared word by word
+    unless other links connect them already.
+    """
+    size = np.array([len(s.hashes) for s in sets])
+    ptr = np.concatenate([[0], np.cumsum(size)])
+    whole = np.concatenate([s.hashes for s in sets])
+    order = np.argsort(whole, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), size)[order]
+    first = np.ones(len(whole), bool)
+    first[1:] = whole[order[1:]] != whole[order[:-1]]
+    begin = np.append(np.flatnonzero(first), len(whole))
+    term = np.empty(len(whole), np.int64)
+    term[order] = np.cumsum(first) - 1
+    del whole, order, first
+    label, found = np.arange(len(sets)), []
+    todo = np.ones(len(sets), bool)
+    while (rest := np.flatnonzero(todo & (label != np.bincount(label).argmax()))).size:
+        i = int(rest[0])
+        todo[i] = False
+        t = term[ptr[i] : ptr[i + 1]]
+        n = begin[t + 1] - begin[t]
+        t, n = t[n > 1], n[n > 1]
+        at = np.repeat(begin[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        for j in np.flatnonzero((100 * both >= SIMILARITY * (size[i] + size - both)) & (label != label[i])).tolist():
+            if label[j] != label[i] and linked(sets[i], sets[j]):
+                label[label == label[j]] = label[i]
+                found.append((i, j))
+    return found
+
+
+def _links(clusters: DataFrame, classes: DataFrame, docs: DataFrame, secret: int) -> DataFrame:
+    """Linked pairs (a, b) of classes, on full sets, that connect whatever is linked within a cluster; ``clusters`` has ``node`` and ``root``."""
+    sized = clusters.join(classes.select(F.col("cls").alias("node"), "n", "key"), "node")
+    needed = F.greatest(F.ceil(F.sum("n") / CHUNK), F.ceil(F.count("*") / BLOCK)).cast("long")
+    cells = sized.join(sized.groupBy("root").agg(F.least(needed, F.count("*")).alias("blocks")), "root").withColumn("at", F.pmod(F.xxhash64("node"), "blocks"))
+    cells = cells.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("at <> to or blocks = 1")
+    needs = cells.select("root", F.least("at", "to").alias("one"), F.greatest("at", "to").alias("two"), F.col("node").alias("cls"), "key")
+    texts = docs.select(row_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    texts = texts.join(sized.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    rows = texts.join(needs, "key").select("root", "one", "two", "cls", "text")
+
+    def check(_key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        names, sets = group.column("cls"), []
+        for chunk in group.column("text").chunks:
+            for block in wb.blocks([pa.record_batch([chunk], names=["text"])]):
+                sets.extend(full_sets(block.column(0), secret))
+        a, b = zip(*found, strict=True) if (found := joined(sets)) else ((), ())
+        return pa.table([names.take(pa.array(a, pa.int64())), names.take(pa.array(b, pa.int64()))], names=["a", "b"])
+
+    return rows.groupBy("root", "one", "two").applyInArrow(check, "a binary, b binary")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, the ``key`` of its row, and its ``group`` (null without shingles)."""
     wb.small_batches(docs.sparkSession)
@@ -301,29 +344,29 @@ def groups(docs: DataFrame) -> DataFrame:
     sketches = written(sketch(docs, secret))
     classes = written(
         sketches.where("n > 0").groupBy("cls").agg(
-            F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "key")).alias("rep"), F.first("sig").alias("sig"), F.first("mini").alias("mini")
-        ).select("cls", "least_id", "n", F.col("rep.key").alias("key"), "sig", "mini")
+            F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "key")).alias("rep"), F.first("sig").alias("sig"), F.first("mini").alias("mini"), F.first("dense").alias("dense")
+        ).select("cls", "least_id", "n", F.col("rep.key").alias("key"), "sig", "mini", "dense")
     )
-    plain = written(sketches.drop("sig", "mini"))
+    plain = written(sketches.drop("sig", "mini", "dense"))
     dropped(sketches)
     bands = _bands(classes)
     least = bands.groupBy("band").agg(F.min("cls").alias("a"), F.count("*").alias("members")).where("members > 1").drop("members")
     shared = written(bands.join(least, "band"))
-    stars = written(_likely_pairs(shared.where("cls <> a").select("a", F.col("cls").alias("b")).distinct(), classes))
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(_confirmed(first, classes, docs, secret))
     released(docs.sparkSession)
-    roots = written(components(links))
-    released(docs.sparkSession)
-    placed = written(shared.select("band", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root")))
+    stars = written(_likely_pairs(shared.where("cls <> a").select("a", F.col("cls").alias("b")).distinct(), classes))
+    clusters = written(components(stars))
+    placed = written(shared.select("band", "cls").join(clusters.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root")))
     dropped(shared)
     released(docs.sparkSession)
-    rest = written(_across(placed, classes).join(first, ["a", "b"], "left_anti"))
+    rest = written(_across(placed, classes))
     dropped(placed)
-    released(docs.sparkSession)
     if rest.limit(1).count():
-        more = written(_confirmed(rest, classes, docs, secret))
-        roots = written(components(links.unionByName(more)))
+        dropped(clusters)
+        clusters = written(components(stars.unionByName(rest)))
+    released(docs.sparkSession)
+    links = written(_links(clusters, classes, docs, secret))
+    released(docs.sparkSession)
+    roots = written(components(links))
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least_id", F.coalesce("root", "cls").alias("root"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_class = named.join(ids, "root").select("cls", "component_id", F.col("root").alias("group"))
@@ -332,7 +375,7 @@ def groups(docs: DataFrame) -> DataFrame:
     result = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     result = written(result)
     released(docs.sparkSession)
-    dropped(plain, classes, stars, links, roots, rest)
+    dropped(plain, classes, stars, clusters, links, roots, rest)
     return result
 
 
